@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -25,9 +27,17 @@ PIECES = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
+#: The same for texts of plain characters only, in the faster module: there letters, digits and blanks are these.
+_BLANK, _ALPHA = r"\t-\r ", "a-zA-ZÀ-ÖØ-öø-ſ"
+PLAIN = re.compile(rf"[\0-\x84\x86-\x9f¡-©«-±´¶-¸»¿-ſ‐-‧]*")
+PLAIN_PIECES = re.compile(
+    rf"'(?:[stmd]|re|ve|ll)| ?[{_ALPHA}]+| ?[0-9]+| ?[^{_BLANK}{_ALPHA}0-9]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
+)
 #: Pieces whose ids a worker keeps, and the longest that it keeps.
-KEPT, KEPT_CHARS = 1 << 17, 64
-_NONE = 1 << 60
+KEPT, KEPT_CHARS = 400_000, 64
+#: Leaves of the segment tree are whole numbers: rank, then the merged id, then the place.
+_PLACE, _ID = 31, 24
+_NONE = 1 << 100
 
 
 def byte_symbols() -> list[str]:
@@ -38,36 +48,28 @@ def byte_symbols() -> list[str]:
 
 
 class RankTree:
-    """Least value and its leftmost place over a row of ranks, with point updates."""
-
-    def __init__(self, ranks: list[int]):
-        self.half = 1 << max(0, (len(ranks) - 1).bit_length())
-        self.tree = [_NONE] * self.half + ranks + [_NONE] * (self.half - len(ranks))
-        for i in range(self.half - 1, 0, -1):
-            left, right = self.tree[2 * i], self.tree[2 * i + 1]
-            self.tree[i] = left if left <= right else right
-
-    def least(self) -> int:
-        return self.tree[1]
-
-    def leftmost(self) -> int:
-        i, tree = 1, self.tree
-        while i < self.half:
-            i *= 2
-            if tree[i] > tree[i + 1]:
-                i += 1
-        return i - self.half
-
-    def put(self, place: int, rank: int) -> None:
+    """Least value over a row of numbers, with point updates.  Values hold their place, so equal ranks go leftmost first."""
+
+    def __init__(self, values: list[int]):
+        self.half = half = 1 << (len(values) - 1).bit_length()
+        levels = [values + [_NONE] * (half - len(values))]
+        while len(levels[-1]) > 1:
+            levels.append([a if a < b else b for a, b in zip(levels[-1][::2], levels[-1][1::2])])
+        self.tree = [_NONE]
+        for level in reversed(levels):
+            self.tree += level
+
+    def put(self, place: int, value: int) -> None:
         tree, i = self.tree, place + self.half
-        tree[i] = rank
+        tree[i] = value
         while i > 1:
-            i //= 2
-            left, right = tree[2 * i], tree[2 * i + 1]
-            least = left if left <= right else right
-            if tree[i] == least:
+            other = tree[i ^ 1]
+            if other < value:
+                value = other
+            i >>= 1
+            if tree[i] == value:
                 break
-            tree[i] = least
+            tree[i] = value
 
 
 class ByteBpe:
@@ -84,7 +86,7 @@ class ByteBpe:
         self.bytes_of = {i: bytes(code[c] for c in token) for token, i in vocab.items()}
         self.byte_ids = [vocab[s] for s in symbols]
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)}
+        self.pairs = {vocab[a] << _ID | vocab[b]: (rank << _ID | vocab[a + b]) << _PLACE for rank, (a, b) in enumerate(merges)}
         self.added = {}
         for t in spec["added_tokens"]:
             if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]:
@@ -97,55 +99,73 @@ class ByteBpe:
     def merge(self, data: bytes) -> list[int]:
         """The ids of one piece."""
         ids = [self.byte_ids[b] for b in data]
-        n, merges = len(ids), self.merges
+        n, rank = len(ids), self.pairs.get
         if n < 2:
             return ids
-        none = (_NONE, -1)
-        tree = RankTree([merges.get(pair, none)[0] for pair in zip(ids, ids[1:])])
+        tree = RankTree([_NONE if (v := rank(a << _ID | b)) is None else v | i for i, (a, b) in enumerate(zip(ids, ids[1:]))])
+        nodes, put = tree.tree, tree.put
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        while tree.least() < _NONE:
-            i = tree.leftmost()
+        while (least := nodes[1]) < _NONE:
+            i = least & (1 << _PLACE) - 1
             j = after[i]
-            ids[i] = merges[ids[i], ids[j]][1]
+            ids[i] = merged = least >> _PLACE & (1 << _ID) - 1
+            ids[j] = -1
             k = after[i] = after[j]
-            if j < n - 1:
-                tree.put(j, _NONE)
             if k < n:
+                put(j, _NONE)
                 before[k] = i
-                tree.put(i, merges.get((ids[i], ids[k]), none)[0])
+                put(i, _NONE if (v := rank(merged << _ID | ids[k])) is None else v | i)
             else:
-                tree.put(i, _NONE)
+                if j < n - 1:
+                    put(j, _NONE)
+                put(i, _NONE)
             if (h := before[i]) >= 0:
-                tree.put(h, merges.get((ids[h], ids[i]), none)[0])
-        out, i = [], 0
-        while i < n:
-            out.append(ids[i])
-            i = after[i]
-        return out
+                put(h, _NONE if (v := rank(ids[h] << _ID | merged)) is None else v | h)
+        return [i for i in ids if i >= 0]
 
-    def piece(self, piece: str) -> list[int]:
-        ids = self.kept.get(piece)
-        if ids is None:
-            ids = self.merge(piece.encode())
-            if len(piece) <= KEPT_CHARS:
-                if len(self.kept) >= KEPT:
-                    self.kept.clear()
-                self.kept[piece] = ids
-        return ids
+    def decode_bytes(self, ids: list[int]) -> bytes:
+        return b"".join([self.bytes_of[i] for i in ids])
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def decode(self, ids: list[int]) -> str:
+        return self.decode_bytes(ids).decode("utf-8", errors="replace")
+
+    def pieces(self, text: str) -> list[tuple[list[int], str, bytes]]:
+        """(ids, ids as decimals, decoded bytes) of each piece of a text, in order."""
+        out = []
         for part in self.special.split(text) if self.special else [text]:
             if part in self.added:
-                out.append(self.added[part])
+                ids = [self.added[part]]
+                out.append((ids, str(ids[0]), self.decode_bytes(ids)))
             elif part:
-                for piece in PIECES.findall(part):
-                    out += self.kept.get(piece) or self.piece(piece)
+                names = (PLAIN_PIECES if PLAIN.fullmatch(part) else PIECES).findall(part)
+                found = list(map(self.kept.get, names))
+                if None in found:
+                    for at, (name, known) in enumerate(zip(names, found, strict=True)):
+                        if known is None:
+                            found[at] = self.kept.get(name) or self._learn(name)
+                out += found
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        table = self.bytes_of
-        return b"".join([table[i] for i in ids]).decode("utf-8", errors="replace")
+    def _learn(self, name: str) -> tuple[list[int], str, bytes]:
+        ids = self.merge(name.encode())
+        made = (ids, ",".join(map(str, ids)), self.decode_bytes(ids))
+        if len(name) <= KEPT_CHARS:
+            if len(self.kept) >= KEPT:
+                self.kept.clear()
+            self.kept[name] = made
+        return made
+
+    def encode(self, text: str) -> list[int]:
+        out: list[int] = []
+        for ids, _, _ in self.pieces(text):
+            out += ids
+        return out
+
+
+@lru_cache(2)
+def model_of(source: str) -> ByteBpe:
+    """One worker's model, kept from task to task with what it knows of pieces."""
+    return ByteBpe(source)
 
 
 def _broadcast(frame: DataFrame, path: str):
@@ -159,7 +179,7 @@ def encode(docs: DataFrame, path: str, *, text: str = "text") -> DataFrame:
 
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = ByteBpe(source.value)
+        model = model_of(source.value)
         for batch in batches:
             yield pa.array([model.encode(v.as_py() or "") for v in batch], pa.list_(pa.int32()))
 
@@ -172,7 +192,7 @@ def decode(coded: DataFrame, path: str, *, ids: str = "ids") -> DataFrame:
 
     @F.arrow_udf("string")
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = ByteBpe(source.value)
+        model = model_of(source.value)
         for batch in batches:
             yield pa.array([model.decode(v.as_py() or []) for v in batch], pa.string())
 
@@ -190,13 +210,14 @@ def digest(docs: DataFrame, path: str, *, text: str = "text") -> DataFrame:
 
     @F.arrow_udf("struct<n_tokens:long,ids_sha256:string,decoded_sha256:string>")
     def digests(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = ByteBpe(source.value)
+        model = model_of(source.value)
         for batch in batches:
             out = []
             for value in batch:
-                ids = model.encode(value.as_py() or "")
-                joined, back = ",".join(map(str, ids)).encode(), model.decode(ids).encode()
-                out.append((len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(back).hexdigest()))
+                parts = model.pieces(value.as_py() or "")
+                joined = ",".join([p[1] for p in parts])
+                back = b"".join([p[2] for p in parts]).decode("utf-8", errors="replace")
+                out.append((joined.count(",") + bool(joined), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
             n, a, b = zip(*out, strict=True) if out else ((), (), ())
             yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], fields=list(shape))
 

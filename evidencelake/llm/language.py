@@ -8,31 +8,45 @@ prototype has the largest cosine with the text's vector.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DIM = 1024
+DIM = 512
 SEED = 20240229
 #: Weight of one learning text, dealt over its triples in whole units so that sums are exact in any order.
 UNITS = 1 << 20
 #: Triples whose vectors a worker keeps; beyond it starts anew.
 KEPT = 1 << 15
+#: Learning texts, at most: those of the smallest hashed texts.
+MAX_TEXTS = 20_000
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Code points of letters.
+_LETTER = np.zeros(0x110000, bool)
+_LETTER[[c for c in range(0x110000) if chr(c).isalpha()]] = True
 
 
 def triples(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """The distinct letter triples of a text as packed code points, and their counts.  Words get a blank around."""
-    words = _LETTERS.findall(text.lower()) if text else []
-    if not words:
+    code = np.frombuffer(f" {text.lower()} ".encode("utf-32-le"), np.uint32) if text else np.empty(0, np.uint32)
+    letter = _LETTER[code]
+    if not letter.any():
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    code = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
-    return np.unique(code[:-2] << 42 | code[1:-1] << 21 | code[2:], return_counts=True)
+    code = np.where(letter, code, 32).astype(np.uint64)
+    kept = letter.copy()
+    kept[0] = True
+    kept[1:] |= letter[:-1]  # of blanks in a row the first
+    code = code[kept]
+    if code[1] == 32:  # a blank was put before another one
+        code = code[1:]
+    keys = code[:-2] << 42 | code[1:-1] << 21 | code[2:]
+    keys.sort()
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.diff(np.append(first, len(keys)))
 
 
 class TripleVectors:
@@ -67,29 +81,32 @@ class TripleVectors:
             part = keys[at : at + 2048].tolist()
             if len(self.places) + len(part) > KEPT:
                 self._clear()
-            for k in part:
-                if k not in self.places:
-                    n = len(self.places)
-                    if n == len(self.rows):
-                        self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
-                    self.rows[n] = self.bound(k)
-                    self.places[k] = n
-            rows = self.rows[[self.places[k] for k in part]]
+            at_rows = list(map(self.places.get, part))
+            if None in at_rows:
+                for k in part:
+                    if k not in self.places:
+                        n = len(self.places)
+                        if n == len(self.rows):
+                            self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+                        self.rows[n] = self.bound(k)
+                        self.places[k] = n
+                at_rows = [self.places[k] for k in part]
+            rows = self.rows[at_rows]
             w = weights[at : at + 2048]
             kind = np.float32 if int(w.sum()) < 1 << 24 else np.float64  # both exact
             total += w.astype(kind) @ rows.astype(kind)
         return total
 
 
-def learn(labelled: DataFrame, *, dim: int = DIM, seed: int = SEED) -> dict[str, list[float]]:
-    """Language prototypes from (text, lang) rows.
+def learn(labelled: DataFrame, *, dim: int = DIM, seed: int = SEED, max_texts: int = MAX_TEXTS) -> dict[str, list[float]]:
+    """Language prototypes from (text, lang) rows: about ``max_texts`` of them at most, chosen by hashed text.
 
     Tasks bundle their rows by language; bundles are added by Spark.  What comes back is one vector per language.
     Rows with null lang, or without a letter, teach nothing.
     """
 
     def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, sums = TripleVectors(dim, seed), {}
+        vectors, sums = _vectors(dim, seed), {}
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 keys, counts = triples(text)
@@ -102,10 +119,12 @@ def learn(labelled: DataFrame, *, dim: int = DIM, seed: int = SEED) -> dict[str,
                 pa.schema([("lang", pa.string()), ("place", pa.int32()), ("value", pa.int64())]),
             )
 
+    known = labelled.where("lang is not null and text is not null").select("text", "lang")
+    part = min(1.0, max_texts / max(1, known.count()))
+    if part < 1:
+        known = known.where(F.shiftrightunsigned(F.xxhash64("text"), 1) < F.lit(int(part * (1 << 63))))
     rows = (
-        labelled.where("lang is not null and text is not null")
-        .select("text", "lang")
-        .mapInArrow(bundles, "lang string, place int, value long")
+        known.mapInArrow(bundles, "lang string, place int, value long")
         .groupBy("lang", "place")
         .agg(F.sum("value").alias("value"))
         .groupBy("lang")
@@ -115,6 +134,12 @@ def learn(labelled: DataFrame, *, dim: int = DIM, seed: int = SEED) -> dict[str,
     return {r["lang"]: [float(v) for v in r["values"]] for r in sorted(rows, key=lambda r: r["lang"])}
 
 
+@lru_cache(2)
+def _vectors(dim: int, seed: int) -> TripleVectors:
+    """One worker's vectors, kept from task to task."""
+    return TripleVectors(dim, seed)
+
+
 def predict(docs: DataFrame, prototypes: dict[str, list[float]], *, dim: int = DIM, seed: int = SEED, text: str = "text") -> DataFrame:
     """Add ``lang_pred`` and ``score`` (cosine with the prototype, 0 to 1) to ``docs``.
 
@@ -128,7 +153,7 @@ def predict(docs: DataFrame, prototypes: dict[str, list[float]], *, dim: int = D
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def classify(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        vectors = TripleVectors(dim, seed)
+        vectors = _vectors(dim, seed)
         for batch in batches:
             out = []
             for value in batch:
