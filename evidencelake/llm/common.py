@@ -62,20 +62,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     rounds is logarithmic.  A node's neighbourhood is only ever reduced by a partial minimum, never collected, so a
     node with most of the links is no hot task.  Each round ends in a checkpoint.
     """
-    graph = cut(
-        links.where(F.col(a) != F.col(b))
-        .select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-        .distinct()
-    )
+    ends = links.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    graph = cut(ends.withColumn("turn", F.lit(0)))
+    # the round's number is data, so that all rounds share their compiled code
+    rank = lambda c: F.struct(F.xxhash64("turn", c).alias("h"), F.col(c).alias("id"))
     labels = None
-    nodes = graph.select(F.col("a").alias("node")).union(graph.select("b")).distinct()
-    turn = 0
     while not graph.isEmpty():
-        turn += 1
-        rank = lambda c, turn=turn: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), c.alias("id"))
-        both = graph.select(F.col("a").alias("u"), F.col("b").alias("v")).union(graph.select("b", "a"))
-        least = both.groupBy("u").agg(F.min(rank(F.col("v"))).alias("m"))
-        step = least.select("u", F.least(F.col("m"), rank(F.col("u")))["id"].alias("p"))
+        both = graph.select(F.col("a").alias("u"), F.col("b").alias("v"), "turn").union(graph.select("b", "a", "turn"))
+        least = both.groupBy("u").agg(F.min(rank("v")).alias("m"), F.max("turn").alias("turn"))
+        step = least.select("u", F.least(F.col("m"), rank("u"))["id"].alias("p"))
         up = step.select(F.col("u").alias("p"), F.col("p").alias("pp"))
         jump = cut(step.join(up, "p").select("u", F.col("pp").alias("p")))
         if labels is None:
@@ -85,7 +80,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             labels = cut(moved.select("node", F.coalesce("to", "root").alias("root")))
         ja, jb = (jump.select(F.col("u").alias(x), F.col("p").alias(f"p{x}")) for x in "ab")
         ends = graph.join(ja, "a").join(jb, "b").where("pa <> pb")
-        graph = cut(ends.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        moved = ends.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"), (F.col("turn") + 1).alias("turn"))
+        graph = cut(moved.distinct())
     if labels is None:
-        return nodes.select("node", F.col("node").alias("root"))
+        return graph.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return labels

@@ -25,15 +25,16 @@ KEPT = 1 << 15
 #: Learning texts, at most: those of the smallest hashed texts.
 MAX_TEXTS = 20_000
 
-#: Code points of letters.
-_LETTER = np.zeros(0x110000, bool)
-_LETTER[[c for c in range(0x110000) if chr(c).isalpha()]] = True
+@lru_cache(1)
+def _letters() -> np.ndarray:
+    """Whether a code point is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
 def triples(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """The distinct letter triples of a text as packed code points, and their counts.  Words get a blank around."""
     code = np.frombuffer(f" {text.lower()} ".encode("utf-32-le"), np.uint32) if text else np.empty(0, np.uint32)
-    letter = _LETTER[code]
+    letter = _letters()[code]
     if not letter.any():
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     code = np.where(letter, code, 32).astype(np.uint64)

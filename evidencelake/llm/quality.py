@@ -12,8 +12,6 @@ import json
 import re
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,6 +106,10 @@ def fit(labelled: DataFrame, *, stats: str = "stats", label: str = "label", max_
     At most ``max_rows`` rows are used, chosen by hashed ``order``; the bound keeps the fit's cost the same on any
     corpus.  Without rows of both labels the ensemble has no rule and the share of label 1 as its score (0.5 of none).
     """
+    # here, as the other operators' drivers have no use for it
+    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
     names = list(labelled.schema[stats].dataType.names)
     rows = labelled.where(F.col(label).isin(0, 1)).select(F.col(label).cast("double").alias("label"), stats, order)
     seen = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
