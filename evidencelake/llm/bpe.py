@@ -34,7 +34,8 @@ PLAIN_PIECES = re.compile(
     rf"'(?:[stmd]|re|ve|ll)| ?[{_ALPHA}]+| ?[0-9]+| ?[^{_BLANK}{_ALPHA}0-9]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
 )
 #: Pieces whose ids a worker keeps, and the longest that it keeps.
-KEPT, KEPT_CHARS = 400_000, 64
+#: There are two generations: a full one becomes the old one, and what is met again moves on.
+KEPT, KEPT_CHARS = 250_000, 64
 #: Leaves of the segment tree are whole numbers: rank, then the merged id, then the place.
 _PLACE, _ID = 31, 24
 _NONE = 1 << 100
@@ -94,7 +95,8 @@ class ByteBpe:
             self.added[t["content"]] = t["id"]
             self.bytes_of[t["id"]] = t["content"].encode()
         self.special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        self.kept: dict[str, list[int]] = {}
+        self.kept: dict[str, tuple[list[int], str, bytes]] = {}
+        self.old: dict[str, tuple[list[int], str, bytes]] = {}
 
     def merge(self, data: bytes) -> list[int]:
         """The ids of one piece."""
@@ -147,11 +149,13 @@ class ByteBpe:
         return out
 
     def _learn(self, name: str) -> tuple[list[int], str, bytes]:
-        ids = self.merge(name.encode())
-        made = (ids, ",".join(map(str, ids)), self.decode_bytes(ids))
+        made = self.old.get(name)
+        if made is None:
+            ids = self.merge(name.encode())
+            made = (ids, ",".join(map(str, ids)), self.decode_bytes(ids))
         if len(name) <= KEPT_CHARS:
             if len(self.kept) >= KEPT:
-                self.kept.clear()
+                self.old, self.kept = self.kept, {}
             self.kept[name] = made
         return made
 

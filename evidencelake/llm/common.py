@@ -59,7 +59,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Randomised contraction.  In each round every node points at the neighbour (or itself) of smallest hashed id, the
     pointers are followed once more, and the graph is rewritten over the nodes pointed at.  The hash differs by round,
     so in expectation a constant share of the nodes goes in each, for chains as well as for stars, and the number of
-    rounds is logarithmic.  A node's neighbourhood is only ever reduced by a partial minimum, never collected, so a
+    rounds is logarithmic.  Joins are sort-merge joins, whose skewed keys Spark can split; nothing is broadcast.  A node's neighbourhood is only ever reduced by a partial minimum, never collected, so a
     node with most of the links is no hot task.  Each round ends in a checkpoint.
     """
     ends = links.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
@@ -72,14 +72,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = both.groupBy("u").agg(F.min(rank("v")).alias("m"), F.max("turn").alias("turn"))
         step = least.select("u", F.least(F.col("m"), rank("u"))["id"].alias("p"))
         up = step.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-        jump = cut(step.join(up, "p").select("u", F.col("pp").alias("p")))
+        jump = cut(step.join(up.hint("merge"), "p").select("u", F.col("pp").alias("p")))
         if labels is None:
             labels = jump.select(F.col("u").alias("node"), F.col("p").alias("root"))
         else:
-            moved = labels.join(jump.select(F.col("u").alias("root"), F.col("p").alias("to")), "root", "left")
+            moved = labels.join(jump.select(F.col("u").alias("root"), F.col("p").alias("to")).hint("merge"), "root", "left")
             labels = cut(moved.select("node", F.coalesce("to", "root").alias("root")))
         ja, jb = (jump.select(F.col("u").alias(x), F.col("p").alias(f"p{x}")) for x in "ab")
-        ends = graph.join(ja, "a").join(jb, "b").where("pa <> pb")
+        ends = graph.join(ja.hint("merge"), "a").join(jb.hint("merge"), "b").where("pa <> pb")
         moved = ends.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"), (F.col("turn") + 1).alias("turn"))
         graph = cut(moved.distinct())
     if labels is None:
