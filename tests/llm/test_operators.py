@@ -119,10 +119,11 @@ def test_line_groups_equal_brute_force(spark):
             texts.append(" ".join(copy))
     texts += [" ".join(["same"] * k) for k in range(3, 40)]
     docs = frame(spark, list(enumerate(dict.fromkeys(texts))))
-    listed = docs.select("doc_id", lines.words_of(F.col("text")).alias("w")).select("doc_id", lines.signature_of(F.col("w")).alias("sig"))
-    sims = lines.simhashes(listed.withColumnRenamed("doc_id", "lid")).join(listed.withColumnRenamed("doc_id", "lid"), "lid").withColumn("words", F.length("sig"))
-    rows = sims.collect()
-    groups = {r["lid"]: r["root"] for r in lines.line_groups(sims.select("lid", "sim", "words"), sims.select("lid", "sig")).collect()}
+    listed = docs.select(lines.normalised(F.col("text")).alias("norm"), "doc_id")
+    sims = lines.simhashes(listed).drop("lid").withColumnRenamed("doc_id", "lid")
+    found = listed.select(F.col("doc_id").alias("lid"), "norm")
+    rows = sims.join(found.select("lid", lines.signature_of(F.col("norm")).alias("sig")), "lid").collect()
+    groups = {r["lid"]: r["root"] for r in lines.line_groups(sims, found).collect()}
 
     def edits(a, b):
         row = list(range(len(b) + 1))
