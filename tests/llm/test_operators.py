@@ -150,6 +150,15 @@ def test_line_groups_equal_brute_force(spark):
             assert (groups.get(x, f"own{x}") == groups.get(y, f"own{y}")) == (root(x) == root(y))
 
 
+def test_line_groups_joined_in_the_second_round(spark):
+    a, x = [f"a{i}" for i in range(10)], [f"x{i}" for i in range(10)]
+    norms = {1: a, 2: x, 3: ["b", *a[1:]], 4: ["c", *a[1:]], 5: [f"y{i}" for i in range(10)]}  # 1 and 3 are no neighbours
+    nodes = spark.createDataFrame([(i, 0, 10, 0, 0) for i in norms], "lid long, sim long, words long, bag1 long, bag2 long")
+    found = spark.createDataFrame([(i, " ".join(w)) for i, w in norms.items()], "lid long, norm string")
+    groups = {r["lid"]: r["root"] for r in lines.line_groups(nodes, found).collect()}
+    assert set(groups) == {1, 3, 4} and len(set(groups.values())) == 1
+
+
 def test_rules_score_like_their_conditions(spark):
     rows = [(i, ("good text here. " * (i % 7 + 2)) if i % 3 else "BAD!! ### " * (i % 5 + 2), i % 3 != 0) for i in range(240)]
     docs = quality.with_statistics(spark.createDataFrame(rows, "doc_id long, text string, ok boolean").withColumn("label", F.col("ok").cast("int")))
