@@ -159,6 +159,48 @@ def test_line_groups_joined_in_the_second_round(spark):
     assert set(groups) == {1, 3, 4} and len(set(groups.values())) == 1
 
 
+def word_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_line_groups_equal_brute_force_by_edits_alone(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 9)))
+    norms = []
+    for n in [*range(3, 27), 40, 60]:
+        line = [word() for _ in range(n)]
+        norms.append(line)
+        for edits in (n // 5, n // 5, n // 5 + 1):  # the last is one too many for a line of its length
+            copy = list(line)
+            for _ in range(edits):
+                at, kind = rng.randrange(len(copy)), rng.randrange(3)
+                copy[at : at + (kind < 2)] = [word()] if kind != 1 else []
+            norms.append(copy)
+    norms = [w.split() for w in dict.fromkeys(" ".join(w) for w in norms if w)]
+    found = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(norms)], "lid long, norm string")
+    sims = lines.simhashes(found.withColumnRenamed("lid", "id")).drop("lid").withColumnRenamed("id", "lid")
+    groups = {r["lid"]: r["root"] for r in lines.line_groups(sims, found).collect()}
+    parent = list(range(len(norms)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(norms):
+        for j, b in enumerate(norms[:i]):
+            if word_edits(a, b) <= max(len(a), len(b)) // 5:
+                parent[root(i)] = root(j)
+    for i in range(len(norms)):
+        for j in range(i):
+            assert (groups.get(i, f"own{i}") == groups.get(j, f"own{j}")) == (root(i) == root(j)), (norms[i], norms[j])
+
+
 def test_rules_score_like_their_conditions(spark):
     rows = [(i, ("good text here. " * (i % 7 + 2)) if i % 3 else "BAD!! ### " * (i % 5 + 2), i % 3 != 0) for i in range(240)]
     docs = quality.with_statistics(spark.createDataFrame(rows, "doc_id long, text string, ok boolean").withColumn("label", F.col("ok").cast("int")))
