@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidencelake.llm import bpe, language, lines, mixing, simhash
-from evidencelake.llm.common import held_out, stage
+from evidencelake.llm.common import held_out, key_of, stage
 from evidencelake.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -39,9 +39,13 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mix takes of it: none, one or two."""
-    mixed = mixing.mix(docs).where("taken > 0").select("doc_id", F.expr("taken div size").alias("copies")).dropDuplicates(["doc_id"])
-    repeated = docs.select(*COLUMNS).join(mixed, "doc_id")
-    return repeated.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    # ids may be null or shared by different texts, so rows are known by all their columns, and equal rows add up
+    row = F.concat_ws(":", key_of("doc_id"), F.xxhash64(*[key_of(c) for c in COLUMNS]))
+    docs = docs.select(*COLUMNS, row.alias("__row"))
+    mixed = mixing.mix(docs, carry=["__row"]).where("taken > 0")
+    copies = mixed.groupBy("__row").agg(F.sum(F.expr("taken div size")).cast("int").alias("copies"))
+    repeated = docs.dropDuplicates(["__row"]).join(copies, "__row")
+    return repeated.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def bpe_codes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

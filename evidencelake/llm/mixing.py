@@ -113,13 +113,14 @@ def mix(
     text: str = "text",
     source: str = "source",
     doc_id: str = "doc_id",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for every row of ``docs``.
+    """(doc_id, source, size, source_size, target, taken, and ``carry``) for every row of ``docs``.
 
     ``weights`` are dealt to the sources in code point order, null last, and repeat.  ``taken`` is a whole multiple
     of ``size``: whole passes, plus one for documents that the fitted subset holds.  Null or empty texts have size 0
     and take 0; an empty table gives an empty result; equal rows are separate documents; a null doc_id is an id like
-    any other.  Other columns of ``docs`` are not looked at.
+    any other.  Columns named in ``carry`` pass through and order the rows of one doc_id; others are not looked at.
     """
     base = cut(
         docs.select(
@@ -128,6 +129,7 @@ def mix(
             key_of(source).alias("skey"),
             word_count(F.col(text)).alias("size"),
             F.xxhash64(F.lit(seed), key_of(doc_id)).alias("order"),
+            *carry,
         ).withColumn("bucket", F.shiftrightunsigned("order", 56).cast("int"))
     )
     hist = cut(base.groupBy("source", "skey", "size", "bucket").agg(F.count("*").alias("n")))
@@ -155,7 +157,7 @@ def mix(
         .join(fitted, ["skey", "size"])
         .select("skey", "size", "bucket", "source_size", "target", "passes", (F.col("extra") - F.col("before")).alias("room"))
     )
-    rank = F.row_number().over(Window.partitionBy("skey", "size", "bucket").orderBy("order", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("skey", "size", "bucket").orderBy("order", "doc_id", *carry))
     return (
         base.join(plan, ["skey", "size", "bucket"])
         .withColumn("once", F.when(rank <= F.col("room"), 1).otherwise(0))
@@ -166,5 +168,6 @@ def mix(
             "source_size",
             "target",
             (F.col("size") * (F.col("passes") + F.col("once"))).cast("long").alias("taken"),
+            *carry,
         )
     )
