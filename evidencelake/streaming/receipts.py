@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -39,28 +40,45 @@ def sessions(events: DataFrame, *, gap: str = "30 minutes", late: str = "1 hour"
     return timed.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
 
 
+def lru_hit(kept: dict[str, float], item: str, now: float, capacity: int, ttl_seconds: float) -> bool:
+    """Whether ``item`` is in the cache at ``now``; ``kept`` (item to its time, oldest use first) is brought up to date."""
+    for k in [k for k, t in kept.items() if now - t >= ttl_seconds]:
+        del kept[k]
+    made = kept.pop(item, None)
+    kept[item] = now if made is None else made
+    while len(kept) > capacity:
+        kept.pop(next(iter(kept)))
+    return made is not None
+
+
 def lru_hits(events: pd.DataFrame, capacity: int, ttl_seconds: float) -> pd.DataFrame:
     """One principal's cache: events(event_id, ts, item) in order give hit flags under capacity and time to live."""
-    kept: dict[str, float] = {}
-    out = []
-    for row in events.sort_values(["ts", "event_id"]).itertuples():
-        now = row.ts.timestamp()
-        kept = {k: t for k, t in kept.items() if now - t < ttl_seconds}
-        made = kept.pop(row.item, None)
-        out.append(made is not None)
-        kept[row.item] = now if made is None else made
-        while len(kept) > capacity:
-            kept.pop(next(iter(kept)))
-    return events.sort_values(["ts", "event_id"]).assign(hit=out)
+    events, kept = events.sort_values(["ts", "event_id"]), {}
+    return events.assign(hit=[lru_hit(kept, row.item, row.ts.timestamp(), capacity, ttl_seconds) for row in events.itertuples()])
 
 
 def ttl_lru(events: DataFrame, *, capacity: int = 2, ttl_seconds: float = 86_400.0) -> DataFrame:
-    """(principal, event_id, hit) from events(principal, event_id, ts, item): an ordered fold per principal."""
+    """(principal, event_id, hit) from events(principal, event_id, ts, item): an ordered fold per principal.
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        return lru_hits(part, capacity, ttl_seconds)[["principal", "event_id", "hit"]]
+    A principal's events come sorted and in batches, and between batches only its live cache is kept, so memory does
+    not grow with the events of a principal.  The fold itself is in order: a principal is in one task.
+    """
 
-    return events.groupBy("principal").applyInPandas(fold, "principal long, event_id long, hit boolean")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before: object = fold  # no principal, not even null
+        kept: dict[str, float] = {}
+        for batch in batches:
+            principals, hits = batch["principal"].to_pylist(), []
+            times = batch["at"].to_pylist()
+            for principal, item, at in zip(principals, batch["item"].to_pylist(), times, strict=True):
+                if principal != before:
+                    before, kept = principal, {}
+                hits.append(lru_hit(kept, item, at / 1e6, capacity, ttl_seconds))
+            yield pa.RecordBatch.from_arrays([batch["principal"], batch["event_id"], pa.array(hits, pa.bool_())], names=["principal", "event_id", "hit"])
+
+    timed = events.select("principal", "event_id", "item", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    dealt = timed.repartition("principal").sortWithinPartitions("principal", "at", "event_id")
+    return dealt.mapInArrow(fold, "principal long, event_id long, hit boolean")
 
 
 def stream_receipts(events: DataFrame, *, ttl: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -98,6 +98,28 @@ def test_lru_and_stream(spark, tmp_path):
     assert [r["hit"] for r in spark.sql("select * from receipts order by event_id").collect()] == [False, True, False, False, True, True, True]
 
 
+def test_lru_of_a_hot_principal_goes_by_in_batches(spark, monkeypatch):
+    rng, start = random.Random(11), datetime(2024, 1, 1)
+    rows = [(rng.choice([1, 1, 2, None]), i, start + timedelta(minutes=rng.randrange(3000)), rng.choice("abcd")) for i in range(600)]
+    events = pd.DataFrame(rows, columns=["principal", "event_id", "ts", "item"])
+    want = {}
+    for _, part in events.groupby("principal", dropna=False):
+        want |= receipts.lru_hits(part, 2, 3600).set_index("event_id")["hit"].to_dict()
+    seen = []
+    kind = type(spark.range(0))
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, schema, real=kind.mapInArrow: seen.append(f) or real(self, f, schema))
+    frame = spark.createDataFrame(rows, "principal long, event_id long, ts timestamp, item string")
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(batch)
+    spark.conf.set(batch, "7")
+    try:
+        got = receipts.ttl_lru(frame, ttl_seconds=3600.0).collect()
+    finally:
+        spark.conf.set(batch, old)
+    assert len(got) == 600 and {r["event_id"]: r["hit"] for r in got} == want
+    assert len(seen) == 1 and 0 < sum(want.values()) < 600  # no principal's rows are gathered as one frame
+
+
 def test_sources(spark, tmp_path):
     items = spark.createDataFrame([("a", "x"), ("b\n", "y"), ("c", None)], "source string, text string")
     assert [r["reject_reason"] for r in tables.quarantine(items).collect()] == [None, "control_character", "no_text"]
