@@ -20,6 +20,8 @@ from .registry import query
 FAMILY = ST.Family("embedding-64", 64, 64)
 #: Searches ask with every row whose id is divisible by this.
 EACH = 20
+#: Rows of a block of vectors, about.
+BLOCK = 2048
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,12 +195,17 @@ def q43_dup_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):  # lists of one pair of blocks at a time
                 score = np.array(row["qv"]) @ np.array(row["iv"]).T
                 score[np.array(row["qs"])[:, None] == np.array(row["vs"])[None, :]] = -1
                 yield pa.RecordBatch.from_pydict({"query_id": row["qs"], "near": (score >= 0.9).sum(axis=1)})
 
-    block = lambda frame, key, a, b: frame.withColumn("b", F.pmod(F.xxhash64(key), F.lit(64))).groupBy("b").agg(F.collect_list(F.struct(key, "v")).alias("m")).select(F.col("b").alias(f"b{a}"), F.col(f"m.{key}").alias(a), F.col("m.v").alias(b))
+    def block(frame: DataFrame, key: str, a: str, b: str) -> DataFrame:
+        """Blocks of about BLOCK rows, however many there are."""
+        blocks = frame.agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.lit(1)).cast("int").alias("blocks"))
+        dealt = frame.crossJoin(F.broadcast(blocks)).withColumn("b", F.pmod(F.xxhash64(key), F.col("blocks")))  # blocks is one row
+        return dealt.groupBy("b").agg(F.collect_list(F.struct(key, "v")).alias("m")).select(F.col("b").alias(f"b{a}"), F.col(f"m.{key}").alias(a), F.col("m.v").alias(b))
+
     met = block(asked, "query_id", "qs", "qv").join(block(items, "vec_id", "vs", "iv"), F.lit(True)).repartition("bqs", "bvs")
     got = met.mapInArrow(count, "query_id long, near long").groupBy("query_id").agg(F.sum("near").alias("near")).crossJoin(F.broadcast(n))
     return got.select("query_id", "near", F.round(F.col("near") / (F.col("n") - 1), 9).alias("rate"))

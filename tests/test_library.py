@@ -133,6 +133,22 @@ def test_sources(spark, tmp_path):
         tables.read_files(spark, str(tmp_path), ["../x"])
 
 
+def test_dup_rate_by_blocks_of_bounded_size(spark, monkeypatch):
+    got = plans.QUERIES["q43_dup_rate"](spark, DATA).toPandas().sort_values("query_id", ignore_index=True)
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{DATA}/embeddings.parquet'")
+    want = con.sql(plans.ORACLES["q43_dup_rate"]).df().sort_values("query_id", ignore_index=True)
+    assert got["query_id"].equals(want["query_id"]) and got["near"].equals(want["near"]) and np.allclose(got["rate"], want["rate"])
+    kind, met = type(spark.range(0)), []
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, schema, real=kind.mapInArrow: met.append(self) or real(self, f, schema))
+    many = spark.range(200_000).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0)).alias("v"), F.lit(0).alias("label"))
+    query = plans.QUERIES["q43_dup_rate"]
+    monkeypatch.setitem(query.__globals__, "_vectors", lambda *_: many)
+    query(spark, DATA)
+    sizes = met[0].agg(F.max(F.size("vs")), F.max(F.size("qs"))).first()
+    assert max(sizes) < 2500
+
+
 @pytest.mark.parametrize("name", ["q01_digest_dedup", "q05_bm25_topk", "q11_ndcg_recall_mrr", "q18_stamp_hamming_topk", "q26_handoff_packet", "q34_receipt_replay", "q38_residual_exact", "q39_relation_diffusion"])
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
