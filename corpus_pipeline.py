@@ -64,7 +64,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe_codes", bpe_codes),
 ]
 
-#: Prototypes, SimHash groups, the knapsack and BPE have no SQL form; tests hold run() against brute force.
+#: Prototypes, SimHash groups, the knapsack and BPE have no SQL form.  Of the stages a test calls mix_sources only; run() has none.
 ORACLE_SQL = None
 
 
