@@ -12,10 +12,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def replay(events: DataFrame, mutation: Column, *, key: str = "user_id") -> DataFrame:
-    """Add ``hit_selective`` and ``hit_global`` to events(event_id, ts, key): whether a handoff finds its receipt.
+    """Add ``m`` and ``hit_selective`` to events(event_id, ts, key): whether a handoff finds its receipt.
 
-    A receipt of the key is there if a handoff came since the last mutation of that key (selective), or of any key
-    (global).  The global order needs only the mutations' times, joined as version numbers by time range.
+    A receipt of the key is there if a handoff came since the last mutation of that key.  Hits under global
+    invalidation, by a mutation of any key, are not built.
     """
     marked = events.withColumn("m", mutation)
     order = Window.partitionBy(key).orderBy("ts", "event_id")
