@@ -312,6 +312,22 @@ def test_pruning_keeps_all_that_reach_the_bound():
             assert kept is None or set(np.flatnonzero(score >= bound)) <= set(kept.tolist())
 
 
+def test_merging_many_equals_merging_one():
+    with open(tokenizer_path(), encoding="utf-8") as file:
+        model = bpe.ByteBpe(file.read())
+    rng = random.Random(12)
+    pieces = ["".join(rng.choice("thenigoaé 中") for _ in range(rng.choice([1, 2, 3, 8, 17, 70]))).encode() for _ in range(400)] + [b"aaaaaaaa", b"x"]
+    assert model.merge_all(pieces) == [model.merge(p) for p in pieces] and model.merge_all([]) == []
+
+
+def test_round_trip_of_texts(spark):
+    texts = [(1, None), (2, ""), (3, "Alpha beta <|endoftext|>\n\u0000 x"), (3, "Alpha beta <|endoftext|>\n\u0000 x"), (4, "word é" * 200_000)]
+    got = bpe.round_trip(frame(spark, texts), tokenizer_path()).collect()
+    both = bpe.decode(bpe.encode(frame(spark, texts), tokenizer_path()), tokenizer_path()).collect()
+    assert sorted((r["doc_id"], r["ids"]) for r in got) == sorted((r["doc_id"], r["ids"]) for r in both)
+    assert all(r["round_trip"] for r in got) and all(r["decoded"] == (r["text"] or "") for r in both)
+
+
 def test_digest_of_an_empty_text(spark):
     row = bpe.digest(frame(spark, [(1, None)]), tokenizer_path()).first()
     assert row["n_tokens"] == 0 and row["ids_sha256"] == row["decoded_sha256"] == hashlib.sha256(b"").hexdigest()
