@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,14 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that driver and executors share.
+    """The checkpoint folder that driver and executors share, named by the cluster in ``spark.checkpoint.dir``.
 
-    The cluster names it in ``spark.checkpoint.dir``.  A folder of our own is set only where that is unset, as in
-    local tests.
+    Where that is unset, a session in one process gets a temporary folder, and any other an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
 
 
@@ -35,14 +40,28 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
-def stage(frame: DataFrame) -> DataFrame:
-    """Like cut(), as a compressed Parquet table in the shared folder: for wide rows."""
+def stage(frame: DataFrame, compression: str = "snappy") -> DataFrame:
+    """Like cut(), as a compressed Parquet table in the shared folder."""
     spark = frame.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    frame.write.option("compression", compression).parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def discard(staged: DataFrame) -> None:
+    """Delete the files of a table made by stage() that no frame in use depends on."""
+    spark = staged.sparkSession
+    for folder in {re.match(r"(.*/stage-[0-9a-f]{32})/", file)[1] for file in staged.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(frame: DataFrame) -> None:
+    """Have the driver notice which shuffles are done with, so that their files go now and not at its next collection."""
+    gc.collect()
+    frame.sparkSession._jvm.System.gc()
+
+
 def key_of(column: str) -> Column:
     """A string key that is never null: equal for equal values, and null has one of its own."""
     return F.coalesce(F.concat(F.lit("v"), F.col(column).cast("string")), F.lit("n"))

@@ -98,107 +98,102 @@ def test_secret_ownership(spark):
 
 def test_lines_fuzzy_and_exact(spark):
     base = "the quick brown foxes jumped across seventeen lazy dogs while twenty silver rabbits watched quietly from behind wooden fences nearby"
-    near = base.replace("lazy", "lazy,").upper()
+    near = base.replace("lazy", "sleepy,").upper()
     other = "completely different content about mountains rivers forests valleys and oceans far away"
-    docs = [(1, f"{base}\n{other}\nOk."), (2, f"{near}\nOk.\nanother unique sentence follows right here"), (3, base)]
+    docs = [(1, f"{base}\n{other}\nOk."), (2, f"{near}\nOk.\nanother unique sentence follows right here\n\n--"), (3, base), (4, "中文的一行文字没有空格\n--"), (5, "中文的一行文字没有空隔")]
     got = {r["doc_id"]: r for r in lines.dedup_lines(frame(spark, docs)).collect()}
     assert got[1]["text"] == docs[0][1] and got[1]["n_dropped"] == 0
-    assert got[2]["text"] == "Ok.\nanother unique sentence follows right here" and got[2]["n_lines"] == 3
+    assert got[2]["text"] == "another unique sentence follows right here\n\n--" and got[2]["n_lines"] == 5 and got[2]["n_dropped"] == 2
     assert got[3]["text"] == "" and got[3]["n_dropped"] == 1
+    assert got[4]["text"] == docs[3][1] and got[5]["text"] == ""
 
 
-def test_line_groups_equal_brute_force(spark):
-    rng = random.Random(6)
-    words = [f"word{i}" for i in range(60)]
-    texts = []
-    for _ in range(12):
-        line = [rng.choice(words) for _ in range(25)]
-        for _ in range(5):
-            copy = list(line)
-            copy[rng.randrange(25)] = rng.choice(words)
-            texts.append(" ".join(copy))
-    texts += [" ".join(["same"] * k) for k in range(3, 40)]
-    docs = frame(spark, list(enumerate(dict.fromkeys(texts))))
-    listed = docs.select(lines.normalised(F.col("text")).alias("norm"), "doc_id")
-    sims = lines.simhashes(listed).drop("lid").withColumnRenamed("doc_id", "lid")
-    found = listed.select(F.col("doc_id").alias("lid"), "norm")
-    rows = sims.join(found.select("lid", lines.signature_of(F.col("norm")).alias("sig")), "lid").collect()
-    groups = {r["lid"]: r["root"] for r in lines.line_groups(sims, found).collect()}
-
-    def edits(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            before, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
-        return row[-1]
-
-    parent = {r["lid"]: r["lid"] for r in rows}
+def word_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def groups_by_edits(norms):
+    """The least index of each line's group, by edit similarity alone."""
+    parent = list(range(len(norms)))
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for i, a in enumerate(rows):
-        for b in rows[:i]:
-            if ((a["sim"] ^ b["sim"]) & (2**64 - 1)).bit_count() <= lines.RADIUS and edits(a["sig"], b["sig"]) <= int(0.2 * max(a["words"], b["words"]) + 1e-9):
-                parent[max(root(a["lid"]), root(b["lid"]))] = min(root(a["lid"]), root(b["lid"]))
-    for i, a in enumerate(rows):
-        for b in rows[:i]:
-            x, y = a["lid"], b["lid"]
-            assert (groups.get(x, f"own{x}") == groups.get(y, f"own{y}")) == (root(x) == root(y))
+    for i, a in enumerate(norms):
+        for j, b in enumerate(norms[:i]):
+            if abs(len(a) - len(b)) <= max(len(a), len(b)) // 5 and root(i) != root(j) and word_edits(a, b) <= max(len(a), len(b)) // 5:
+                x, y = sorted((root(i), root(j)))
+                parent[y] = x
+    return [root(i) for i in range(len(norms))]
 
 
-def test_line_groups_joined_in_the_second_round(spark):
-    a, x = [f"a{i}" for i in range(10)], [f"x{i}" for i in range(10)]
-    norms = {1: a, 2: x, 3: ["b", *a[1:]], 4: ["c", *a[1:]], 5: [f"y{i}" for i in range(10)]}  # 1 and 3 are no neighbours
-    nodes = spark.createDataFrame([(i, 0, 10, 0, 0) for i in norms], "lid long, sim long, words long, bag1 long, bag2 long")
-    found = spark.createDataFrame([(i, " ".join(w)) for i, w in norms.items()], "lid long, norm string")
-    groups = {r["lid"]: r["root"] for r in lines.line_groups(nodes, found).collect()}
-    assert set(groups) == {1, 3, 4} and len(set(groups.values())) == 1
+def as_lines(spark, norms):
+    found = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(norms)], "i long, norm string")
+    return found.select("i", F.xxhash64("norm").alias("h"), F.xxhash64(F.lit(1), "norm").alias("g"), "norm")
 
 
-def word_edits(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        before, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
-    return row[-1]
+def same_groups(spark, norms):
+    """Lines in equal groups by the operator iff in equal groups by edits."""
+    found, want = as_lines(spark, norms), groups_by_edits(norms)
+    got = {r["i"]: r["root"] for r in found.join(lines.line_groups(found.drop("i")), ["h", "g"]).collect()}
+    pairs = {(want[i], got.get(i, i)) for i in range(len(norms))}
+    return len(pairs) == len(set(want)) == len({p[1] for p in pairs})
+
+
+def edited(rng, line, edits, word):
+    copy = list(line)
+    for _ in range(edits):
+        at, kind = rng.randrange(len(copy)), rng.randrange(3)
+        copy[at : at + (kind < 2)] = [word()] if kind != 1 else []
+    return copy
 
 
 def test_line_groups_equal_brute_force_by_edits_alone(spark):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 9)))
     norms = []
-    for n in [*range(3, 27), 40, 60]:
+    for n in [*range(3, 27), 40, 60, 64, 65, 66, 90]:
         line = [word() for _ in range(n)]
-        norms.append(line)
-        for edits in (n // 5, n // 5, n // 5 + 1):  # the last is one too many for a line of its length
-            copy = list(line)
-            for _ in range(edits):
-                at, kind = rng.randrange(len(copy)), rng.randrange(3)
-                copy[at : at + (kind < 2)] = [word()] if kind != 1 else []
-            norms.append(copy)
-    norms = [w.split() for w in dict.fromkeys(" ".join(w) for w in norms if w)]
-    found = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(norms)], "lid long, norm string")
-    sims = lines.simhashes(found.withColumnRenamed("lid", "id")).drop("lid").withColumnRenamed("id", "lid")
-    groups = {r["lid"]: r["root"] for r in lines.line_groups(sims, found).collect()}
-    parent = list(range(len(norms)))
+        # the last is one too many for a line of its length
+        norms += [line, *(edited(rng, line, k, word) for k in (n // 5, n // 5, n // 5 + 1))]
+    norms += [["same"] * k for k in range(3, 40)]
+    assert same_groups(spark, [w.split() for w in dict.fromkeys(" ".join(w) for w in norms if w)])
 
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
 
-    for i, a in enumerate(norms):
-        for j, b in enumerate(norms[:i]):
-            if word_edits(a, b) <= max(len(a), len(b)) // 5:
-                parent[root(i)] = root(j)
-    for i in range(len(norms)):
-        for j in range(i):
-            assert (groups.get(i, f"own{i}") == groups.get(j, f"own{j}")) == (root(i) == root(j)), (norms[i], norms[j])
+def test_crowds_of_lines_equal_brute_force(spark):
+    rng = random.Random(6)
+    words = [f"word{i}" for i in range(60)]
+    word = lambda: rng.choice(words)
+    norms = []
+    for _ in range(8):
+        line = [word() for _ in range(25)]
+        norms += [edited(rng, line, rng.randint(1, 3), word) for _ in range(12)]
+    hub = [f"hub{i}" for i in range(7)]  # each copy is similar to the hub and to no other copy
+    norms += [hub, *([*hub[:i], f"new{i}", *hub[i + 1 :]] for i in (0, 0, 1, 2, 3, 4, 5, 6))]
+    # one common run, nothing else
+    norms += [["of", "the", "and", *(word() + str(rng.random()) for _ in range(n))] for n in range(5, 45)]
+    assert same_groups(spark, [w.split() for w in dict.fromkeys(" ".join(w) for w in norms)])
+
+
+def test_recall_of_line_links(spark):
+    """Links at the very bound of the similarity, edits spread evenly: as good as all are found."""
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    norms = []
+    for n in (20, 30, 50, 80, 120):
+        for _ in range(60):
+            line = [word() for _ in range(n)]
+            norms += [line, [word() if i % 5 == 2 else w for i, w in enumerate(line)]]
+    found = as_lines(spark, norms)
+    linked = {r["i"] for r in found.join(lines.line_groups(found.drop("i")), ["h", "g"]).collect()}
+    assert len(linked) >= 0.99 * len(norms)
 
 
 def test_rules_score_like_their_conditions(spark):
