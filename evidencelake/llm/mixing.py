@@ -21,7 +21,7 @@ from .common import WORD, cut, key_of
 
 #: Documents of one source and length are dealt over so many seeded buckets, so that no such group is one task.
 BUCKETS = 256
-#: The knapsack closes the last words of a budget, at most about this many.
+#: The knapsack closes the last words of a budget, at most this many.
 WINDOW = 1 << 16
 
 
@@ -30,52 +30,86 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def close_gap(length: np.ndarray, spare: np.ndarray, lack: int) -> np.ndarray:
+    """How many of the ``spare`` documents of each length bring the sum as near ``lack`` as any choice of them can.
+
+    A bounded knapsack: the reachable sums are the bits of an integer, widened length by length by its count in powers
+    of two, in a fixed shuffled order, until the lack itself is reached.  What a length adds nothing to is not kept.
+    """
+    extra = np.zeros(len(length), dtype=np.int64)
+    usable = np.flatnonzero((spare > 0) & (length > 0))
+    if lack <= 0 or not len(usable):
+        return extra
+    most = lack + int(min(length[usable].min(), lack))  # a sum above the lack may be nearer
+    cells = (1 << (most + 1)) - 1
+    reach, steps = 1, []
+    for i in np.random.Generator(np.random.PCG64(len(usable))).permutation(usable).tolist():
+        size = int(length[i])
+        if size > most or reach >> lack & 1:
+            continue
+        wider, left, piece = reach, int(min(spare[i], most // size)), 1
+        while left > 0:
+            part = min(piece, left)
+            wider |= (wider << (part * size)) & cells
+            left, piece = left - part, piece * 2
+        if wider != reach:
+            steps.append((i, reach))
+            reach = wider
+    at = next(s for d in range(most + 1) for s in (lack - d, lack + d) if 0 <= s <= most and reach >> s & 1)
+    for i, before in reversed(steps):
+        while not before >> at & 1:
+            at -= int(length[i])
+            extra[i] += 1
+    return extra
+
+
 def fit_counts(lengths: Sequence[int], counts: Sequence[int], budget: int, window: int = WINDOW) -> np.ndarray:
     """How many documents of each length to take so that the taken words come as near ``budget`` as can be.
 
     Takes the budget's share of every length's count, rounded down, then one more of the lengths with the largest
-    fractions while more than ``window`` words lack, and fits the rest by a bounded knapsack over what is left: a
-    set of reachable sums as the bits of an integer, widened length by length by its count in powers of two.
+    fractions until only a few of the longest documents lack, and fits the rest by a bounded knapsack over what is left.
+    Where that misses the budget, documents of each length are given back and fitted again, up to ``window`` words.
     """
     length, count = np.asarray(lengths, dtype=np.int64), np.asarray(counts, dtype=np.int64)
-    take = np.zeros(len(length), dtype=np.int64)
     total = int((length * count).sum())
     if not len(length) or budget <= 0 or total == 0:
-        return take
+        return np.zeros(len(length), dtype=np.int64)
     if budget >= total:
         return count.copy()
-    if budget > window:
-        exact = count * (budget / total)
-        take = np.minimum(np.floor(exact).astype(np.int64), count)
-        lack = budget - int((take * length).sum())
-        for i in np.lexsort((length, -(exact - take))):
-            if lack <= window:
-                break
-            if take[i] < count[i] and length[i] <= lack:
-                take[i] += 1
-                lack -= int(length[i])
-    lack = budget - int((take * length).sum())
-    spare = count - take
-    usable = (spare > 0) & (length > 0)
-    if lack <= 0 or not usable.any():
-        return take
-    most = lack + int(min(length[usable].min(), lack))  # a sum above the budget may be nearer
-    cells = (1 << (most + 1)) - 1
-    order = [i for i in np.flatnonzero(usable)[np.argsort(-length[usable], kind="stable")] if length[i] <= most]
-    reach, before = 1, []
-    for i in order:
-        before.append(reach)
-        left, piece = int(min(spare[i], most // length[i])), 1
-        while left > 0:
-            part = min(piece, left)
-            reach |= (reach << (part * int(length[i]))) & cells
-            left, piece = left - part, piece * 2
-    at = next(s for d in range(most + 1) for s in (lack - d, lack + d) if 0 <= s <= most and reach >> s & 1)
-    for i, was in zip(reversed(order), reversed(before), strict=True):
-        while not was >> at & 1:
-            at -= int(length[i])
-            take[i] += 1
-    return take
+    exact = count * (budget / total)
+    start = np.minimum(np.floor(exact).astype(np.int64), count)
+    room = min(window, 4 * int(length.max()))
+    lack = budget - int((start * length).sum())
+    for i in np.lexsort((length, -(exact - start))):
+        if lack <= room:
+            break
+        if start[i] < count[i] and length[i] <= lack:
+            start[i] += 1
+            lack -= int(length[i])
+    best, missed, give = start, abs(lack), 0
+    while True:
+        base = np.maximum(start - give, 0)
+        lack = budget - int((base * length).sum())
+        if give and lack > window:
+            break
+        take = base + close_gap(length, count - base, lack)
+        if (off := abs(budget - int((take * length).sum()))) < missed or not give:
+            best, missed = take, off
+        if not missed or not base.any():
+            break
+        give = 2 * give or 1
+    return best
+
+
+def in_order(sources: DataFrame) -> DataFrame:
+    """Add ``place``, from 0, of each row by ``source``, null last: places within ranges, after the rows of the ranges before."""
+    by_source = [F.col("source").isNull(), F.col("source")]
+    ranged = cut(sources.repartitionByRange(*by_source).withColumn("range", F.spark_partition_id()))
+    sizes = ranged.groupBy("range").agg(F.count("*").alias("n"))
+    earlier = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))  # a row per range
+    starts = sizes.select("range", F.coalesce(earlier, F.lit(0)).alias("start"))
+    within = F.row_number().over(Window.partitionBy("range").orderBy(*by_source))
+    return ranged.withColumn("within", within).join(starts, "range").withColumn("place", F.col("start") + F.col("within") - 1)
 
 
 def source_targets(totals: DataFrame, share: float, most: float) -> DataFrame:
@@ -135,9 +169,8 @@ def mix(
     hist = cut(base.groupBy("source", "skey", "size", "bucket").agg(F.count("*").alias("n")))
     by_size = hist.groupBy("source", "skey", "size").agg(F.sum("n").alias("n"))
     totals = by_size.groupBy("source", "skey").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1  # a row per source
-    dealt = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
-    targets = source_targets(totals.select("skey", "source_size", dealt.alias("weight")), share, most)
+    dealt = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    targets = source_targets(in_order(totals).select("skey", "source_size", dealt.alias("weight")), share, most)
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         """One source's lengths (a row per length): whole passes, and the number taken once more of each length."""

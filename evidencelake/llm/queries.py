@@ -34,9 +34,11 @@ def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = F.filter("spans", lambda s: s["kind"] != "token")
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    live = F.size(F.filter("spans", lambda s: s["live"])).cast("long")
     return found.select(
-        "doc_id", *[count(k) for k in secrets.KINDS], F.sha2(written(fixed), 256).alias("base_sha256"), written(F.col("spans")).alias("spans")
-    )
+        "doc_id", *[count(k) for k in secrets.KINDS], F.sha2(written(fixed), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"),
+        live.alias("n_live"), (F.size("spans") - live).alias("n_examples"),
+    )
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,7 +49,10 @@ def token_spans(text: str, taken: list[tuple[int, int, str, str]]) -> list[tuple
             at += 1
         value = m[0]
         mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and len(set(value)) >= 8
-        if mixed and not any(s[0] < m.end() and m.start() < s[1] for s in taken[at:]):
+        over, i = False, at
+        while not over and i < len(taken) and taken[i][0] < m.end():
+            over, i = m.start() < taken[i][1], i + 1
+        if mixed and not over:
             out.append((m.start(), m.end(), "token", value))
     return out
 
