@@ -169,5 +169,6 @@ def predict(docs: DataFrame, prototypes: dict[str, list[float]], *, dim: int = D
                 out.append({"lang_pred": names[best], "score": float(min(1.0, max(0.0, cosine[best])))})
             yield pa.array(out, schema)
 
-    guess = docs.drop("lang_pred", "score").withColumn("__guess", classify(F.col(text)))
+    # not deterministic for the optimiser: else a later filter on the guess would make it a second time
+    guess = docs.drop("lang_pred", "score").withColumn("__guess", classify.asNondeterministic()(F.col(text)))
     return guess.select("*", "__guess.lang_pred", "__guess.score").drop("__guess")
