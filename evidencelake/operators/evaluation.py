@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -42,23 +42,34 @@ def summary(scored: DataFrame, baseline: str, metric: str = "ndcg") -> DataFrame
 
 
 def error_upper_bound(errors: int, count: int, delta: float = 0.05) -> float:
-    """One-sided exact binomial upper bound on an error rate: the p at which so few errors have probability delta."""
+    """One-sided exact binomial upper bound on an error rate: the p at which so few errors have probability delta.
+
+    Newton steps on the binomial tail T(p), whose slope is -(count - errors) times the next term over 1 - p; the root
+    is kept between the observed rate and one.
+    """
     if not 0 <= errors <= count or not 0 < delta < 1:
         raise ValueError("errors must lie within the count, and delta between 0 and 1")
     if errors == count:
         return 1.0
-    i = np.arange(errors + 1)
-    ways = math.lgamma(count + 1) - np.array([math.lgamma(x + 1) + math.lgamma(count - x + 1) for x in i])
-    below = lambda p: float(np.exp(ways + i * math.log(p) + (count - i) * math.log1p(-p)).sum())
-    low, high = errors / count, 1.0
-    for _ in range(60):
-        middle = (low + high) / 2
-        low, high = (middle, high) if below(middle) > delta else (low, middle)
-    return high
-
-
-def poisson_bootstrap(deltas: DataFrame, *, by: str, value: str, key: str, resamples: int = 200, seed: int = 20260920) -> DataFrame:
-    """(by, mean, low, high): a 95 % interval of the mean by Poisson resampling.
+    p = (errors + 1) / (count + 2)
+    low, high = 0.0, 1.0
+    ratios = np.array([(count - i) / (i + 1) for i in range(errors)])
+    for _ in range(200):
+        odds = p / (1 - p)
+        logs = count * math.log1p(-p) + np.concatenate([[0.0], np.cumsum(np.log(ratios * odds))])
+        tail, last = float(np.exp(logs).sum()), float(math.exp(logs[-1]))
+        low, high = (p, high) if tail > delta else (low, p)
+        step = (tail - delta) * (1 - p) / max((count - errors) * last, 1e-300)
+        fresh = p + step
+        fresh = fresh if low < fresh < high else (low + high) / 2
+        if abs(fresh - p) < 1e-15:
+            break
+        p = fresh
+    return p
+
+
+def poisson_bootstrap(deltas: DataFrame, *, by: str, value: str, key: str, resamples: int = 5000, seed: int = 20260920, tail: float = 0.025) -> DataFrame:
+    """(by, mean, n, low, high): an interval of the mean by Poisson resampling, ``tail`` on either side.
 
     A row's weight in a resample is a Poisson(1) variate from the hash of (seed, resample, key): rows are never
     gathered, each resample is a weighted sum, and reruns agree.
@@ -67,8 +78,8 @@ def poisson_bootstrap(deltas: DataFrame, *, by: str, value: str, key: str, resam
     cuts = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)]).tolist()
     weight = sum((F.when(u >= c, 1).otherwise(0) for c in cuts), F.lit(0))
     drawn = deltas.select(by, key, value, F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample")).withColumn("w", weight)
-    means = drawn.groupBy(by, "resample").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("m"))
-    spread = means.groupBy(by).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+    means = drawn.groupBy(by, "resample").agg((F.sum(F.col("w") * F.col(value)) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+    spread = means.groupBy(by).agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
     return deltas.groupBy(by).agg(F.avg(value).alias("mean"), F.count("*").alias("n")).join(spread, by)
 
 
@@ -83,3 +94,131 @@ def policy_grid(cases: DataFrame, scores: list[float], margins: list[float]) ->
     spread = cases.select("score", "margin", "correct", grid.alias("g")).select("score", "margin", "correct", "g.*")
     accepted = (F.col("score") >= F.col("minimum_score")) & (F.col("margin") >= F.col("minimum_margin"))
     return spread.groupBy("minimum_score", "minimum_margin").agg(F.count_if(accepted).alias("accepted"), F.count_if(accepted & ~F.col("correct")).alias("errors"))
+
+
+#: Thresholds that a routing policy is chosen from.
+SCORES, MARGINS = (0.0, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95), tuple(i / 256 for i in (0, 1, 2, 4, 8, 16))
+
+
+def fit_policy(training: DataFrame, validation: DataFrame, *, scope: str, limit: int = 10, max_error: float = 0.05, min_accepted: int = 30, delta: float = 0.05) -> dict:
+    """Thresholds chosen on training(score, margin, correct), certified once on validation of the same columns.
+
+    Of the pairs that accept enough training rows within the error, the one that accepts most, the lowest of equals;
+    (1, 1) where there is none.  ``enabled`` if validation accepts enough too and the upper bound of its error is within
+    ``max_error``.  The driver sees the grid's counts only.
+    """
+    grid = policy_grid(training, list(SCORES), list(MARGINS)).collect()
+    fine = [r for r in grid if r["accepted"] >= min_accepted and r["errors"] <= max_error * r["accepted"]]
+    best = min(fine, key=lambda r: (-r["accepted"], r["minimum_score"], r["minimum_margin"]), default=None)
+    score, margin = (best["minimum_score"], best["minimum_margin"]) if best else (1.0, 1.0)
+    held = policy_grid(validation, [score], [margin]).first()
+    upper = error_upper_bound(held["errors"], held["accepted"], delta) if held else 1.0
+    accepted, errors = (held["accepted"], held["errors"]) if held else (0, 0)
+    return {
+        "scope": scope, "limit": limit, "minimum_score": score, "minimum_margin": margin, "training_accepted": best["accepted"] if best else 0,
+        "validation_accepted": accepted, "validation_errors": errors, "error_upper_bound": upper, "enabled": bool(best and accepted >= min_accepted and upper <= max_error),
+    }
+
+
+def threshold_sweep(cases: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(threshold, tp, fp, fn, precision, recall, f1) of cases(score, positive); "at or above" is a hit."""
+    spread = cases.select("score", "positive", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold"))
+    hit = F.col("score") >= F.col("threshold")
+    told = spread.groupBy("threshold").agg(F.count_if(hit & F.col("positive")).alias("tp"), F.count_if(hit & ~F.col("positive")).alias("fp"), F.count_if(~hit & F.col("positive")).alias("fn"))
+    share = lambda part, whole: part / F.greatest(whole, F.lit(1))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return told.select("threshold", "tp", "fp", "fn", share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"), share(2 * tp, 2 * tp + fp + fn).alias("f1"))
+
+
+def macro_average(rows: DataFrame, dataset: str, value: str, *by: str) -> DataFrame:
+    """(by, macro): the mean of the data sets' means, each data set alike."""
+    each = rows.groupBy(*by, dataset).agg(F.avg(value).alias("__m"))
+    return each.groupBy(*by).agg(F.avg("__m").alias("macro"))
+
+
+def oracle_ndcg(candidates: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, oracle_ndcg, recall): the best that any order of candidates(query_id, doc_id) can reach."""
+    best = Window.partitionBy("query_id").orderBy(F.col("gain").desc(), "doc_id")
+    got = qrels.where("gain > 0").join(candidates.select("query_id", "doc_id", F.lit(1).alias("__c")).distinct(), ["query_id", "doc_id"], "left")
+    there = Window.partitionBy("query_id", "__c").orderBy(F.col("gain").desc(), "doc_id")
+    placed = got.withColumn("__i", F.row_number().over(best)).withColumn("__g", F.when(F.col("__c").isNotNull(), F.row_number().over(there)))
+    worth = lambda place: F.sum(F.when(F.col(place) <= k, F.col("gain") / F.log2(F.col(place) + 1)).otherwise(0.0))
+    return placed.groupBy("query_id").agg((worth("__g") / worth("__i")).alias("oracle_ndcg"), (F.count("__c") / F.count("*")).alias("recall"))
+
+
+def list_fusion(lists: DataFrame, a: str, b: str, weight: float = 0.5) -> DataFrame:
+    """Add ``fused``: a weighted sum of two scores, each less its list's mean and over its population deviation (1e-9 at least)."""
+    stats = lists.groupBy("query_id").agg(*[f(c).alias(f"__{k}{c}") for c in (a, b) for k, f in (("m", F.avg), ("s", F.stddev_pop))])
+    z = lambda c: (F.col(c) - F.col(f"__m{c}")) / F.greatest(f"__s{c}", F.lit(1e-9))
+    return lists.join(stats, "query_id").withColumn("fused", weight * z(a) + (1 - weight) * z(b)).drop(*[f"__{k}{c}" for c in (a, b) for k in "ms"])
+
+
+def diallel(cells: DataFrame, row: str, column: str, value: str) -> DataFrame:
+    """Add general abilities ``gca_row`` and ``gca_column`` and the specific one ``sca`` to cells(row, column, value), a value each.
+
+    value = mean + gca_row + gca_column + sca, the means taken over the cells that are there.
+    """
+    mean = cells.agg(F.avg(value).alias("__all"))
+    rows = cells.groupBy(row).agg(F.avg(value).alias("__r"))
+    columns = cells.groupBy(column).agg(F.avg(value).alias("__c"))
+    met = cells.join(rows, row).join(columns, column).crossJoin(F.broadcast(mean))  # mean is one row
+    out = met.withColumn("gca_row", F.col("__r") - F.col("__all")).withColumn("gca_column", F.col("__c") - F.col("__all"))
+    return out.withColumn("sca", F.col(value) - F.col("__r") - F.col("__c") + F.col("__all")).drop("__all", "__r", "__c")
+
+
+def restoration_gain(rows: DataFrame, required: DataFrame) -> DataFrame:
+    """(case, omitted, source, before, after, gain): what putting one source back does when a required fact is left out.
+
+    rows(case, source, fact, stale) has a row for each fact, required(case, fact) the facts that a case needs.  The
+    background is of fresh sources without the omitted fact; before and after say whether it, and it with the source,
+    cover all that is required.  Sets are counted, so no case is gathered.
+    """
+    needs = required.select("case", "fact").distinct()
+    omitted = needs.withColumnRenamed("fact", "omitted")
+    size = needs.groupBy("case").agg(F.count("*").alias("needed"))
+    fresh = rows.where("not stale").select("case", "source", "fact").distinct().join(needs, ["case", "fact"], "left_semi")
+    has = fresh.withColumnRenamed("fact", "omitted")
+    sources = rows.select("case", "source").distinct()
+    # fresh sources that lack the omitted fact, and what they cover
+    lacks = sources.join(omitted, "case").join(has, ["case", "source", "omitted"], "left_anti")
+    background = lacks.join(fresh, ["case", "source"]).select("case", "omitted", "fact").distinct()
+    covered = background.groupBy("case", "omitted").agg(F.count("*").alias("have"))
+    fresh_facts = sources.join(omitted, "case").join(fresh, ["case", "source"]).select("case", "source", "omitted", "fact")
+    added = fresh_facts.join(background, ["case", "omitted", "fact"], "left_anti").groupBy("case", "source", "omitted").agg(F.count("*").alias("more"))
+    told = sources.join(omitted, "case").join(size, "case").join(covered, ["case", "omitted"], "left").join(added, ["case", "source", "omitted"], "left")
+    have, more = F.coalesce("have", F.lit(0)), F.coalesce("more", F.lit(0))
+    before, after = (have == F.col("needed")).cast("int"), (have + more == F.col("needed")).cast("int")
+    return told.select("case", "omitted", "source", before.alias("before"), after.alias("after"), (after - before).alias("gain"))
+
+
+def leakage(rows: DataFrame, key: Column, split: str = "split") -> DataFrame:
+    """(key, splits): keys, such as normalised texts, that stand in more than one split."""
+    each = rows.select(key.alias("key"), split).distinct()
+    return each.groupBy("key").agg(F.count("*").alias("n"), F.array_sort(F.collect_set(split)).alias("splits")).where("n > 1").drop("n")
+
+
+def without_leakage(rows: DataFrame, key: Column, *, train: str = "train", split: str = "split") -> DataFrame:
+    """``rows`` less the training rows whose key stands in another split."""
+    keyed = rows.withColumn("__k", key)
+    held = keyed.where(F.col(split) != train).select("__k", F.lit(train).alias(split)).distinct()
+    return keyed.join(held, ["__k", split], "left_anti").drop("__k")
+
+
+def frozen_gate(tune: DataFrame, calibration: DataFrame, *, controls: tuple[str, ...], fallback: str, least: int = 50, resamples: int = 5000) -> DataFrame:
+    """(dataset, candidate, qualified, deployed): the best tuned method of each data set, gated by paired intervals.
+
+    tune and calibration(dataset, method, query_id, value).  The candidate qualifies on calibration with ``least``
+    queries, where the lower bound of its lead over each control, at 5 % shared among the controls, is above zero.
+    """
+    means = tune.groupBy("dataset", "method").agg(F.avg("value").alias("m"))
+    first = Window.partitionBy("dataset").orderBy(F.col("m").desc(), "method")
+    chosen = means.withColumn("r", F.row_number().over(first)).where("r = 1").select("dataset", F.col("method").alias("candidate"))
+    mine = calibration.join(chosen, ["dataset"]).where("method = candidate").select("dataset", "query_id", "candidate", F.col("value").alias("a"))
+    others = calibration.where(F.col("method").isin(*controls)).select("dataset", "query_id", F.col("method").alias("control"), F.col("value").alias("b"))
+    deltas = mine.join(others, ["dataset", "query_id"]).select(F.concat_ws("/", "dataset", "control").alias("pair"), "dataset", "candidate", "control", "query_id", (F.col("a") - F.col("b")).alias("delta"))
+    bounds = poisson_bootstrap(deltas, by="pair", value="delta", key="query_id", resamples=resamples, tail=0.05 / max(1, len(controls)))
+    passed = bounds.join(deltas.select("pair", "dataset", "candidate", "control").distinct(), "pair").groupBy("dataset", "candidate").agg(
+        F.min("n").alias("n"), F.bool_and((F.col("control") == F.col("candidate")) | (F.col("low") > 0)).alias("ahead")
+    )
+    told = chosen.join(passed, ["dataset", "candidate"], "left").withColumn("qualified", F.coalesce((F.col("n") >= least) & F.col("ahead"), F.lit(False)))
+    return told.select("dataset", "candidate", "qualified", F.when(F.col("qualified"), F.col("candidate")).otherwise(fallback).alias("deployed"))

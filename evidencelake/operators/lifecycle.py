@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
-import uuid
+import re
+import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Rounds of a closure after which what was found is written as one table again.
+ROUNDS = 8
+#: What stands for no dependencies.
+NONE = "array<struct<name:string,version:string>>"
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only for a session in one process."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
 
 def shared(frame: DataFrame) -> DataFrame:
-    """Cut the lineage in the cluster's checkpoint folder; one of our own only where it names none."""
-    spark = frame.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{uuid.uuid4().hex}")
+    """Cut the lineage in the cluster's checkpoint folder."""
+    checkpoint_dir(frame.sparkSession)
     return frame.checkpoint()
 
 
@@ -45,9 +60,58 @@ def upsert_status(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
     return both.select("source", state.alias("status"))
 
 
-def apply_upsert(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
-    """The next snapshot: the batch's rows, and those of the old one that it doesn't replace."""
-    return snapshot.join(batch.select("source"), "source", "left_anti").unionByName(batch)
+def _canonical(dependencies: str) -> Column:
+    return F.array_sort(F.coalesce(F.col(dependencies), F.array().cast(NONE)))
+
+
+def dependency_edges(items: DataFrame) -> DataFrame:
+    """(source, target) for items(source, dependencies array<struct<name, version>>)."""
+    return items.select("source", F.explode("dependencies").alias("d")).select("source", F.col("d.name").alias("target"))
+
+
+def upsert(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
+    """The next snapshot (source, text, digest, dependencies, stale) and each row's ``status``.
+
+    snapshot has these columns, batch(source, text, digest, dependencies) is applied at once.  Sources whose text or
+    dependencies change make everything stale that the old snapshot's dependencies reach from them; rows of the batch
+    themselves are fresh.  Status: added, updated, refreshed, unchanged, or kept for rows that the batch doesn't name.
+    """
+    old = snapshot.select("source", F.col("text").alias("t0"), F.col("digest").alias("d0"), _canonical("dependencies").alias("e0"), F.col("stale").alias("s0"))
+    new = batch.select("source", F.col("text").alias("t1"), F.col("digest").alias("d1"), _canonical("dependencies").alias("e1"))
+    both = shared(old.join(new, "source", "full_outer"))
+    given, known = F.col("d1").isNotNull(), F.col("d0").isNotNull()
+    moved = given & known & ((F.col("d0") != F.col("d1")) | (F.col("e0") != F.col("e1")))
+    reached = affected(both.where(moved).select(F.col("source").alias("node")), dependency_edges(snapshot))
+    status = (
+        F.when(~given, "kept").when(~known, "added").when(F.col("d0") != F.col("d1"), "updated")
+        .when((F.col("e0") == F.col("e1")) & ~F.col("s0"), "unchanged").otherwise("refreshed")
+    )
+    told = both.join(reached.select(F.col("node").alias("source"), F.lit(True).alias("hit")), "source", "left")
+    stale = ~given & (F.coalesce("s0", F.lit(False)) | F.col("hit").isNotNull())
+    now = [F.when(given, F.col(f"{c}1")).otherwise(F.col(f"{c}0")).alias(n) for c, n in (("t", "text"), ("d", "digest"), ("e", "dependencies"))]
+    return told.select("source", *now, stale.alias("stale"), status.alias("status"))
+
+
+def forget(snapshot: DataFrame, names: DataFrame) -> DataFrame:
+    """The snapshot without the sources of names(source); all that depends on them is stale."""
+    reached = affected(names.select(F.col("source").alias("node")), dependency_edges(snapshot))
+    left = snapshot.join(names.select("source"), "source", "left_anti")
+    hit = left.join(reached.select(F.col("node").alias("source"), F.lit(True).alias("__hit")), "source", "left")
+    return hit.withColumn("stale", F.col("stale") | F.col("__hit").isNotNull()).drop("__hit")
+
+
+def lookup(snapshot: DataFrame, source: str) -> DataFrame:
+    """The row of one source, or none."""
+    return snapshot.where(F.col("source") == source)
+
+
+def recall(ranked: DataFrame, limit: int = 5) -> DataFrame:
+    """The best ``limit`` usable rows of each query: ranked(query_id, source, score, freshness, ...) that are current or unchecked, with ``place``."""
+    if not 0 <= limit <= 100:
+        raise ValueError("the limit must be between 0 and 100")
+    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "source")
+    usable = ranked.where(F.col("freshness").isin("current", "unchecked"))
+    return usable.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
 
 
 def visible(nodes: DataFrame, role: str | Column, revisions: DataFrame) -> DataFrame:
@@ -56,50 +120,68 @@ def visible(nodes: DataFrame, role: str | Column, revisions: DataFrame) -> DataF
     return nodes.where(F.array_contains("roles", role)).join(now, "key").where(F.col("__r") == F.col("revision")).drop("__r")
 
 
-def closure(roots: DataFrame, edges: DataFrame, *, root: str = "root", node: str = "node") -> DataFrame:
-    """(root, node): all nodes that a root reaches over edges(source, target), itself included; cycles are fine.
+def _spread(start: DataFrame, arcs: DataFrame) -> DataFrame:
+    """All rows of ``start`` (node and more columns) and what arcs(node, to) lead to from them, the other columns kept.
 
-    Path doubling over the frontier: each round joins the newest pairs with the edges and drops known ones; a round's
-    result is checkpointed, and the loop ends with an empty frontier.
+    Breadth first: a round joins the newest rows with the arcs and drops known ones, so cycles end.  Rounds are as many
+    as the longest shortest path; each is checkpointed, and every ROUNDS what was found is written as one table.
     """
-    seen = shared(roots.select(F.col(root).alias("root"), F.col(root).alias("node")).distinct())
-    frontier = seen
-    arcs = shared(edges.select(F.col("source").alias("node"), "target").distinct())
+    names = start.columns
+    seen = frontier = shared(start.distinct())
+    arcs, rounds = shared(arcs.distinct()), 0
     while not frontier.isEmpty():
-        reached = frontier.join(arcs, "node").select("root", F.col("target").alias("node")).distinct()
-        frontier = shared(reached.join(seen, ["root", "node"], "left_anti"))
-        seen = seen.unionByName(frontier)
+        reached = frontier.join(arcs, "node").drop("node").withColumnRenamed("to", "node").select(*names).distinct()
+        frontier = shared(reached.join(seen, names, "left_anti"))
+        seen, rounds = seen.unionByName(frontier), rounds + 1
+        if rounds % ROUNDS == 0:
+            seen = shared(seen)
+    return seen
+
+
+def closure(roots: DataFrame, edges: DataFrame, *, root: str = "root", node: str = "node") -> DataFrame:
+    """(root, node): all nodes that a root reaches over edges(source, target), itself included; cycles are fine."""
+    start = roots.select(F.col(root).alias("root"), F.col(root).alias("node"))
+    seen = _spread(start, edges.select(F.col("source").alias("node"), F.col("target").alias("to")))
     return seen.select(F.col("root").alias(root), F.col("node").alias(node))
 
 
 def affected(changed: DataFrame, dependencies: DataFrame) -> DataFrame:
     """(node): everything that depends on a changed node, itself included; dependencies(source depends on target).
 
-    The frontier holds nodes, not pairs, so the state never outgrows the graph.
+    The state holds nodes, not pairs, so it never outgrows the graph.
     """
-    seen = shared(changed.select("node").distinct())
-    frontier = seen
-    back = shared(dependencies.select(F.col("target").alias("node"), "source").distinct())
-    while not frontier.isEmpty():
-        up = frontier.join(back, "node").select(F.col("source").alias("node")).distinct()
-        frontier = shared(up.join(seen, "node", "left_anti"))
-        seen = seen.unionByName(frontier)
-    return seen
+    return _spread(changed.select("node"), dependencies.select(F.col("target").alias("node"), F.col("source").alias("to")))
 
 
 def handoff(roots: DataFrame, edges: DataFrame, nodes: DataFrame, *, role: str, budget_bytes: int) -> DataFrame:
     """(root, status, reason, n_sources, units): whole dependency closures or nothing.
 
-    nodes(key, text, revision, roles, current).  One node that is missing, hidden from the role or out of date makes a
-    root's packet unavailable, without naming it; so does a packet beyond the budget.
+    nodes(key, text, revision, roles, current); edges(source, target) depend, or by ``kind`` if there is one: depends_on
+    edges are followed, and two nodes of a packet that a contradicts edge joins make it conflicting_context.  A node that
+    is missing, hidden from the role or out of date, or a followed edge that is not ``current`` (if there is such a
+    column), makes a root's packet unavailable without naming it; so does a packet beyond the budget.
     """
-    reached = closure(roots, edges)
+    depends = edges.where("kind = 'depends_on'") if "kind" in edges.columns else edges
+    reached = shared(closure(roots, depends))
     known = reached.join(nodes.withColumnRenamed("key", "node"), "node", "left")
-    fine = F.coalesce(F.array_contains("roles", role) & F.col("current"), F.lit(False))
+    if "current" in depends.columns:
+        old = depends.where("not current").select(F.col("source").alias("node"), F.lit(True).alias("old")).distinct()
+        known = known.join(old, "node", "left")
+    else:
+        known = known.withColumn("old", F.lit(None).cast("boolean"))
+    fine = F.coalesce(F.array_contains("roles", role) & F.col("current") & F.col("old").isNull(), F.lit(False))
     header = F.octet_length(F.concat(F.lit('{"revision": "'), "revision", F.lit('", "sha256": "'), F.sha2("text", 256), F.lit('", "source": "'), F.col("node").cast("string"), F.lit('"}\n')))
     units = F.sum(header + F.octet_length("text") + 2) - 2
     packed = known.groupBy("root").agg(F.bool_and(fine).alias("fine"), units.alias("size"), F.count("*").alias("n"))
-    reason = F.when(~F.col("fine"), "unavailable_context").when(F.col("size") > budget_bytes, "budget_exceeded").otherwise("dependency_closure")
+    clash = F.lit(None).cast("boolean")
+    if "kind" in edges.columns:
+        ends = reached.join(edges.where("kind = 'contradicts'").select(F.col("source").alias("node"), F.col("target").alias("other")), "node")
+        both = ends.select("root", F.col("other").alias("node")).join(reached, ["root", "node"], "left_semi").select("root").distinct()
+        packed, clash = packed.join(both.withColumn("clash", F.lit(True)), "root", "left"), F.col("clash")
+    reason = (
+        F.when(~F.col("fine"), "unavailable_context").when(clash.isNotNull(), "conflicting_context")
+        .when(F.col("size") > budget_bytes, "budget_exceeded").otherwise("dependency_closure")
+    )
     done = F.col("reason") == "dependency_closure"
     told = packed.withColumn("reason", reason)
     return told.select("root", F.when(done, "complete").otherwise("insufficient").alias("status"), "reason", F.when(done, F.col("n")).otherwise(0).cast("long").alias("n_sources"), F.when(done, F.col("size")).otherwise(0).cast("long").alias("units"))

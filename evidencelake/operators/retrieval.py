@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.tables import stored
+from . import blocks as B
 
 DIGITS = 9  # scores that agree to so many places tie, and the id decides
+#: Queries of a block.
+QUERIES = 1024
 
 
 def ranked(scores: DataFrame, k: int, *, score: str = "score", query: str = "query_id", item: str = "doc_id") -> DataFrame:
@@ -21,57 +22,78 @@ def ranked(scores: DataFrame, k: int, *, score: str = "score", query: str = "que
 
 
 def postings(docs: DataFrame, item: str = "doc_id", text: str = "text") -> DataFrame:
-    """(term, item, tf, dl): one row for each term of each document."""
+    """(term, item, tf, dl, dn): one row for each term of each document, with the document's tokens and distinct tokens."""
     listed = docs.select(item, T.tokens(F.col(text)).alias("t"))
-    terms = listed.select(item, F.size("t").alias("dl"), F.explode("t").alias("term"))
-    return terms.groupBy("term", item, "dl").agg(F.count("*").alias("tf"))
+    # sizes first: what is made beside a generator is made for each of its rows
+    sized = listed.select(item, "t", F.size("t").alias("dl"), F.size(F.array_distinct("t")).alias("dn"))
+    terms = sized.select(item, "dl", "dn", F.explode("t").alias("term"))
+    return terms.groupBy("term", item, "dl", "dn").agg(F.count("*").alias("tf"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, *, k1: float = 1.5, b: float = 0.75, distinct: bool = True) -> DataFrame:
-    """(query_id, doc_id, score) for all pairs that share a term; others score 0.
+def bm25(queries: DataFrame, docs: DataFrame, *, k1: float = 1.5, b: float = 0.75, distinct: bool = True, k: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score, shared, dn): pairs that share a term, and how many; others score 0.
 
     queries(query_id, text), docs(doc_id, text).  Document frequencies and lengths come from all documents; only
-    postings of terms that some query has are joined.  ``distinct`` counts a query's repeated terms once.
+    postings of terms that some query has are looked at, and of documents in ``allowed``(doc_id) if that is given.
+    ``distinct`` counts a query's repeated terms once.  With ``k``, the k best of each block at least.
+
+    Texts are tokenised once, into a written table of postings.  Its weights meet the queries in blocks of documents and
+    are summed in a matrix there, so a frequent term costs no row for each pair that has it.
     """
-    size = docs.select(F.size(T.tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    wanted = queries.select("query_id", F.explode((T.words if distinct else T.tokens)(F.col("text"))).alias("term"))
-    hits = postings(docs).join(wanted.select("term").distinct(), "term", "left_semi")
+    index = stored(postings(docs))
+    size = index.agg(F.sum("tf").alias("tokens")).crossJoin(docs.agg(F.count("*").alias("n")))  # one row
+    wanted = queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    if distinct:
+        wanted = wanted.withColumn("times", F.lit(1).cast("long"))
+    hits = index.join(wanted.select("term").distinct(), "term", "left_semi")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    weighed = hits.join(df, "term").crossJoin(F.broadcast(size)).select("term", "doc_id", weight.alias("w"))  # size is one row
-    return weighed.join(wanted, "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
-
-
-def dense_topk(queries: DataFrame, items: DataFrame, k: int, *, block: int = 2048) -> DataFrame:
+    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") * F.col("n") / F.col("tokens")))
+    if allowed is not None:
+        hits = hits.join(allowed.select("doc_id"), "doc_id", "left_semi")
+    weighed = hits.join(df, "term").crossJoin(F.broadcast(size))
+    # 64 bits of hash stand for a term
+    term = F.xxhash64("term").alias("t")
+    count = docs.agg(F.greatest(F.ceil(F.count("*") / F.lit(B.BLOCK)), F.lit(1)).cast("int").alias("blocks"))
+    dealt = weighed.crossJoin(F.broadcast(count)).select(F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("ib"), F.col("doc_id").alias("d"), term, weight.alias("w"), "dn")
+    x = dealt.groupBy("ib").agg(F.collect_list(F.struct("d", "t", "w", "dn")).alias("m")).select("ib", "m.d", "m.t", "m.w", "m.dn")
+    asking = queries.agg(F.greatest(F.ceil(F.count("*") / F.lit(QUERIES)), F.lit(1)).cast("int").alias("qblocks"))
+    pairs = wanted.crossJoin(F.broadcast(asking)).select(F.pmod(F.xxhash64("query_id"), F.col("qblocks")).alias("qb"), F.col("query_id").alias("q"), term, "times")
+    packs = pairs.groupBy("qb").agg(F.collect_list(F.struct("q", "t", "times")).alias("m")).select("qb", F.col("m.q").alias("q"), F.col("m.t").alias("qt"), F.col("m.times").alias("times"))
+    spread = packs.crossJoin(F.broadcast(count)).withColumn("ib", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+    def scores(row: dict) -> dict:
+        ids, first, d = np.unique(row["d"], return_index=True, return_inverse=True)
+        asked, q = np.unique(row["q"], return_inverse=True)
+        total, shared = np.zeros((len(asked), len(ids))), np.zeros((len(asked), len(ids)), np.int64)
+        by_term, by_asked = np.argsort(row["t"], kind="stable"), np.argsort(row["qt"], kind="stable")
+        t, d, w = row["t"][by_term], d[by_term], row["w"][by_term]
+        terms, at = np.unique(row["qt"][by_asked], return_index=True)
+        at = [*at.tolist(), len(by_asked)]
+        for n, (lo, hi) in enumerate(zip(np.searchsorted(t, terms), np.searchsorted(t, terms, side="right"))):
+            if lo < hi:
+                some = by_asked[at[n] : at[n + 1]]
+                cells = np.ix_(q[some], d[lo:hi])
+                total[cells] += row["times"][some][:, None] * w[lo:hi]
+                shared[cells] += 1
+        i, j = np.nonzero(shared) if k is None else B.best_of(np.where(shared > 0, total, -np.inf), ids, k, DIGITS)
+        return {"query_id": asked[i], "doc_id": ids[j], "score": total[i, j], "shared": shared[i, j], "dn": row["dn"][first][j].astype(np.int64)}
+
+    met = spread.join(x.hint("shuffle_merge"), "ib").repartition("qb", "ib")
+    return B.blockwise(met, scores, "query_id long, doc_id long, score double, shared long, dn long")
+
+
+def dense_topk(queries: DataFrame, items: DataFrame, k: int, *, block: int = B.BLOCK) -> DataFrame:
     """(query_id, vec_id, score, rank): exact inner products in doubles, a query's own id left out.
 
-    queries(query_id, v), items(vec_id, v), v array<double>.  Both sides are packed into blocks of bounded size and
-    each block of queries meets each block of items in one matrix product, of which k rows a query leave the task.
+    queries(query_id, v), items(vec_id, v), v array<double>.  Blocks of queries meet blocks of items in one matrix
+    product, of which k rows a query leave the task.
     """
 
-    def packs(frame: DataFrame, key: str, n: str) -> DataFrame:
-        blocks = frame.agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-        dealt = frame.crossJoin(F.broadcast(blocks)).withColumn(n, F.pmod(F.xxhash64(key), F.greatest("blocks", F.lit(1))))
-        return dealt.groupBy(n).agg(F.collect_list(F.struct(key, "v")).alias("m")).select(n, F.col(f"m.{key}").alias(f"{key}s"), F.col("m.v").alias(f"{n}_v"))
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                q, x = np.array(row["qb_v"], np.float64), np.array(row["ib_v"], np.float64)
-                ids, asked = np.array(row["vec_ids"]), np.array(row["query_ids"])
-                score = q @ x.T
-                keys = np.round(score, DIGITS)
-                keys[asked[:, None] == ids[None, :]] = -np.inf
-                order = np.array([np.lexsort((ids, -line))[:k] for line in keys])
-                rows = np.repeat(np.arange(len(asked)), order.shape[1])
-                cols = order.ravel()
-                ok = np.isfinite(keys[rows, cols])
-                rows, cols = rows[ok], cols[ok]
-                yield pa.RecordBatch.from_pydict({"query_id": asked[rows], "vec_id": ids[cols], "score": score[rows, cols]})
-
-    work = packs(queries, "query_id", "qb").join(packs(items, "vec_id", "ib"), F.lit(True))
-    met = work.repartition("qb", "ib").mapInArrow(best, "query_id long, vec_id long, score double")
+    def kernel(row: dict) -> dict:
+        return B.ranked_block(row["qb_v"] @ row["ib_v"].T, row["qb_ids"], row["ib_ids"], k, DIGITS)
+
+    met = B.blockwise(B.block_pairs(queries, items, ["v"], ["v"], size=block), kernel, "query_id long, vec_id long, score double")
     return ranked(met, k, item="vec_id")
 
 
@@ -90,9 +112,11 @@ def grouped_zscore(rows: DataFrame, value: str, by: str) -> DataFrame:
 
 
 def fuse(scores: DataFrame, semantic: str, lexical: str, weight: float = 0.75) -> DataFrame:
-    """Add z_semantic, z_lexical and their weighted sum ``fused``, by query."""
-    out = scores.withColumn("z_semantic", zscore(F.col(semantic), "query_id", eps=1e-12)).withColumn("z_lexical", zscore(F.col(lexical), "query_id", eps=1e-12))
-    return out.withColumn("fused", weight * F.col("z_semantic") + (1 - weight) * F.col("z_lexical"))
+    """Add z_semantic, z_lexical and their weighted sum ``fused``, by query: statistics by partial aggregates, no query's rows are gathered."""
+    stats = scores.groupBy("query_id").agg(*[f(c).alias(f"__{k}_{c}") for c in (semantic, lexical) for k, f in (("m", F.avg), ("s", F.stddev_pop))])
+    z = lambda c: F.when(F.col(f"__s_{c}") > 1e-12, (F.col(c) - F.col(f"__m_{c}")) / F.col(f"__s_{c}")).otherwise(F.lit(0.0))
+    out = scores.join(stats, "query_id").withColumn("z_semantic", z(semantic)).withColumn("z_lexical", z(lexical))
+    return out.withColumn("fused", weight * F.col("z_semantic") + (1 - weight) * F.col("z_lexical")).drop(*[f"__{k}_{c}" for c in (semantic, lexical) for k in "ms"])
 
 
 def rank_of(score: str) -> Column:
@@ -106,19 +130,23 @@ def candidate_union(fused: DataFrame, semantic: str, lexical: str, limits: tuple
     return kept.select("query_id", "doc_id", F.col(semantic).alias("f1"), F.col("z_semantic").alias("f2"), F.col("fused").alias("f3"), F.col("z_lexical").alias("f4"), (1.0 / (1 + F.col("r_sem"))).alias("f5"), (1.0 / (1 + F.col("r_lex"))).alias("f6"), "r_sem", "r_lex", "r_fused")
 
 
-def containment(items: DataFrame, docs: DataFrame, *, width: int = 4) -> DataFrame:
+def containment(items: DataFrame, docs: DataFrame, *, width: int = 4, short_items: int = 1000) -> DataFrame:
     """(query_id, doc_id) where the document contains the item's text verbatim.
 
     The item's tokens 2 to width + 1 are an anchor that every such document has in a row; documents are joined on
-    hashed anchors and the text is then compared.  Items with too few tokens are compared with every document.
+    hashed anchors and the text is then compared.  Items with too few tokens are compared with every document, in
+    broadcast batches of ``short_items``.
     """
-    grams = lambda t: F.transform(F.sequence(F.lit(0), F.size(t) - width), lambda i: F.xxhash64(F.slice(t, i + 1, width)))
+    runs = F.arrays_zip(*[F.slice("t", F.lit(i + 1), F.size("t")) for i in range(width)])
     anchored = items.select("query_id", F.col("text").alias("item"), T.tokens(F.col("text")).alias("t")).withColumn("long", F.size("t") > width + 1)
-    keys = anchored.where("long").select("query_id", "item", F.xxhash64(F.slice("t", 2, width)).alias("gram"))
+    keys = anchored.where("long").select("query_id", "item", F.xxhash64(*[F.get("t", F.lit(i + 1)) for i in range(width)]).alias("gram"))
     listed = docs.select("doc_id", T.tokens(F.col("text")).alias("t")).where(F.size("t") >= width)
-    spread = listed.select("doc_id", F.explode(F.array_distinct(grams(F.col("t")))).alias("gram"))
+    spread = listed.select("doc_id", F.explode(runs).alias("r")).select("doc_id", F.xxhash64(*[f"r.{i}" for i in range(width)]).alias("gram"))
     pairs = spread.join(keys, "gram").select("query_id", "doc_id", "item").distinct()
     found = pairs.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "item")).select("query_id", "doc_id")
-    short = anchored.where(~F.col("long")).select("query_id", "item")
-    rest = docs.join(short, F.contains(docs["text"], short["item"])).select("query_id", "doc_id")
-    return found.union(rest)
+    short = stored(anchored.where(~F.col("long")).select("query_id", "item", F.pmod(F.xxhash64("query_id"), F.lit(1 << 20)).alias("b")))
+    batches = -(-short.count() // short_items)
+    for n in range(batches):
+        some = short.where(F.col("b") % batches == n).select("query_id", "item")
+        found = found.union(docs.join(F.broadcast(some), F.contains(docs["text"], some["item"])).select("query_id", "doc_id"))
+    return found

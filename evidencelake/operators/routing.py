@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -51,9 +51,48 @@ def progressive_route(cases: DataFrame, policy: RoutingPolicy | None, *, scope:
     return cases.withColumn("reason", reason).withColumn("route", route)
 
 
-def choose_expert(features: list[Column], means: list[float], scales: list[float], weights: list[float], intercept: float, threshold: float) -> Column:
-    """"expert" where the linear gain passes the threshold; "baseline" else, and where a feature is over 8 scales off."""
+#: Whole numbers of a coefficient either way, and the scales beyond which a feature is out of range.
+STEPS, FAR = 32767, 8
+
+
+def choose_expert(features: list[Column], scope: Column, *, means: list[float], scales: list[float], weights: list[float], intercept: float, threshold: float, approved: tuple[str, ...]) -> Column:
+    """struct<route, reason>: "hybrid" where the linear gain reaches the threshold in an approved scope, else "fusion".
+
+    Coefficients are whole multiples of one step; where the rounding could decide, full coefficients do.  Null features
+    are out of range.
+    """
     z = [(f - m) / s for f, m, s in zip(features, means, scales, strict=True)]
-    gain = sum((F.lit(w) * x for w, x in zip(weights, z, strict=True)), F.lit(intercept))
-    far = F.greatest(*[F.abs(x) for x in z], F.lit(0.0)) > 8
-    return F.when(~far & (gain > threshold), "expert").otherwise("baseline")
+    step = max(max(abs(w) for w in weights), 1e-12) / STEPS
+    rounded = [round(w / step) * step for w in weights]
+    total = lambda ws, xs, start: sum((F.lit(w) * x for w, x in zip(ws, xs, strict=True)), F.lit(start))
+    quick = total(rounded, z, intercept)
+    error = total([abs(w - r) for w, r in zip(weights, rounded)], [F.abs(x) for x in z], 0.0) + 1e-12 * (1 + F.abs(quick))
+    close = F.abs(quick - threshold) <= error
+    gain = F.when(close, total(weights, z, intercept)).otherwise(quick)
+    inside = F.coalesce(F.greatest(*[F.abs(x) for x in z], F.lit(0.0)) <= FAR, F.lit(False))
+    for x in z:
+        inside = inside & x.isNotNull()
+    reason = (
+        F.when(~F.coalesce(scope.isin(*approved), F.lit(False)), "scope_unqualified").when(~inside, "out_of_training_range")
+        .when(close, "boundary_fp64").otherwise("int16_coefficients")
+    )
+    route = F.when(F.coalesce(scope.isin(*approved), F.lit(False)) & inside & (gain >= threshold), "hybrid").otherwise("fusion")
+    return F.struct(route.alias("route"), reason.alias("reason"))
+
+
+def check_ranking(rows: DataFrame, eligible: DataFrame, count: int, *, bounded: bool = False) -> DataFrame:
+    """(query_id, n, valid) for rankings(query_id, item, place, score) that somebody else made.
+
+    Valid: as many as asked for or eligible, places in turn, all eligible(query_id, item) and distinct, scores finite, not rising,
+    and from 0 to 1 if ``bounded``.  A query without any row is not listed.
+    """
+    order = Window.partitionBy("query_id").orderBy("place")
+    allowed = rows.join(eligible.select("query_id", "item", F.lit(True).alias("__ok")).distinct(), ["query_id", "item"], "left")
+    finite = F.coalesce(~F.isnan("score") & (F.abs("score") < float("inf")), F.lit(False))
+    rising = F.coalesce(F.col("score") > F.lag("score").over(order), F.lit(False))
+    inside = F.col("score").between(0, 1) if bounded else F.lit(True)
+    marked = allowed.withColumn("__bad", F.col("__ok").isNull() | ~finite | rising | ~inside)
+    some = eligible.groupBy("query_id").agg(F.count_distinct("item").alias("__all"))
+    told = marked.groupBy("query_id").agg(F.count("*").alias("n"), F.count_distinct("item").alias("__d"), F.bool_or("__bad").alias("__b"), F.min("place").alias("__lo"), F.max("place").alias("__hi"))
+    fine = ~F.col("__b") & (F.col("__d") == F.col("n")) & (F.col("n") == F.least(F.lit(count), F.coalesce("__all", F.lit(0)))) & (F.col("__hi") - F.col("__lo") + 1 == F.col("n"))
+    return told.join(some, "query_id", "left").select("query_id", "n", fine.alias("valid"))

@@ -12,12 +12,17 @@ from ..operators import learning as L
 from ..operators import retrieval as R
 from ..operators import selection as S
 from ..operators.lifecycle import shared
-from ..sources.tables import table
+from ..sources.tables import stored, table
 from .registry import query
 
 TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 
 
+def _best(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """The k best documents of each item by BM25."""
+    return R.ranked(R.bm25(_queries(spark, sf_dir), _docs(spark, sf_dir), k=k), k)
+
+
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
@@ -70,19 +75,17 @@ WITH {BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r
 SELECT query_id, doc_id, rank, round(score, 6) AS score FROM r WHERE rank <= 10
 """)
 def q05_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = R.ranked(R.bm25(_queries(spark, sf_dir), _docs(spark, sf_dir)), 10)
+    best = _best(spark, sf_dir, 10)
     return best.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
 def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, doc_id, bm25, jaccard) of all pairs that share a term."""
-    queries, docs = _queries(spark, sf_dir), _docs(spark, sf_dir)
-    scored = shared(R.bm25(queries, docs).withColumnRenamed("score", "bm25"))
-    sizes = docs.select("doc_id", F.size(T.words(F.col("text"))).alias("dn"))
-    asked = queries.select("query_id", T.words(F.col("text")).alias("qw")).select("query_id", F.size("qw").alias("qn"), F.explode("qw").alias("term"))
-    hits = R.postings(docs).join(asked, "term").groupBy("query_id", "doc_id", "qn").agg(F.count("*").alias("shared"))
-    overlap = hits.join(sizes, "doc_id").select("query_id", "doc_id", (F.col("shared") / (F.col("qn") + F.col("dn") - F.col("shared"))).alias("jaccard"))
-    return scored.join(overlap, ["query_id", "doc_id"])
+    """(query_id, doc_id, bm25, jaccard) of all pairs that share a term, written once."""
+    queries = _queries(spark, sf_dir)
+    sizes = queries.select("query_id", F.size(T.words(F.col("text"))).alias("qn"))
+    scored = R.bm25(queries, _docs(spark, sf_dir)).join(F.broadcast(sizes) if queries.count() <= 100_000 else sizes, "query_id")
+    jaccard = F.col("shared") / (F.col("qn") + F.col("dn") - F.col("shared"))
+    return stored(scored.select("query_id", "doc_id", F.col("score").alias("bm25"), jaccard.alias("jaccard")))
 
 
 BOTH = f"""{BM25},
@@ -109,7 +112,7 @@ FROM o
 """)
 def q03_lexical_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, docs = _queries(spark, sf_dir), _docs(spark, sf_dir)
-    best = shared(R.ranked(R.bm25(queries, docs), 10).select("query_id", "doc_id", "score"))
+    best = shared(_best(spark, sf_dir, 10).select("query_id", "doc_id", "score"))
     texts = docs.select("doc_id", T.words(F.col("text")).alias("dw"), F.octet_length("text").alias("bytes"))
     near = best.join(texts, "doc_id").join(queries.select("query_id", T.words(F.col("text")).alias("qw")), "query_id")
     made = T.lexical_features(F.col("qw"), F.col("dw"), F.col("score"), F.col("bytes"))
@@ -240,7 +243,7 @@ SELECT query_id, rank, doc_id AS source, reason, (max(used) OVER (PARTITION BY q
 """)
 def q28_pack_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
-    best = R.ranked(R.bm25(_queries(spark, sf_dir), docs), 10).select("query_id", "rank", "doc_id")
+    best = _best(spark, sf_dir, 10).select("query_id", "rank", "doc_id")
     digest = T.digest(F.col("text"))
     chunk = F.concat(F.lit('{"source": "'), F.col("doc_id").cast("string"), F.lit('", "sha256": "'), digest, F.lit('"}\n'), F.col("text"))
     sized = docs.select("doc_id", digest.alias("digest"), F.octet_length(chunk).alias("bytes"))
@@ -251,25 +254,26 @@ def q28_pack_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def q30_coverage_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, docs = _queries(spark, sf_dir), _docs(spark, sf_dir)
-    best = shared(R.ranked(R.bm25(queries, docs), 50).select("query_id", "rank", "doc_id", "score"))
+    best = shared(_best(spark, sf_dir, 50).select("query_id", "rank", "doc_id", "score"))
     texts = docs.select("doc_id", T.words(F.col("text")).alias("words"))
     lists = best.join(texts, "doc_id").join(queries.select("query_id", T.words(F.col("text")).alias("query_words")), "query_id")
     return S.coverage_select(lists)
 
 
 _ENT = FA.ENTITY.replace("'", "''")
+#: Values in order, joined while the whole stays within the bound, and "open" until one didn't fit.
+_FOLD = "list_reduce(list_prepend({{'t': '', 'o': true}}, list_transform({values}, lambda x: {{'t': x, 'o': true}})), lambda a, x: {{'t': CASE WHEN a.o AND octet_length(encode(CASE WHEN a.t = '' THEN x.t ELSE a.t || ', ' || x.t END)) <= 512 THEN CASE WHEN a.t = '' THEN x.t ELSE a.t || ', ' || x.t END ELSE a.t END, 'o': a.o AND octet_length(encode(CASE WHEN a.t = '' THEN x.t ELSE a.t || ', ' || x.t END)) <= 512}}).t"
+_BY_NAME = "list_sort(list_distinct(regexp_extract_all(t, '{pattern}')))"
 
 
 @query("WITH p AS (SELECT doc_id, text AS t, lower(text) AS l FROM documents UNION ALL SELECT -1 - page_id, html, lower(html) FROM pages) SELECT doc_id, "
     + "nullif(array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(l, '(^|[^\\p{{L}}\\p{{N}}_]){w}([^\\p{{L}}\\p{{N}}_]|$)') THEN '{w}' END" for w in FA.INTENTS) + "], lambda x: x IS NOT NULL), ', '), '') AS task, "
     + "nullif(array_to_string(list_filter([" + ", ".join(f"CASE WHEN contains(l, '{w}') THEN '{w}' END" for w in FA.RELATIONS) + "], lambda x: x IS NOT NULL), ', '), '') AS relation, "
-    + f"len(list_distinct(regexp_extract_all(t, '{FA.VERSION}')))::BIGINT AS versions, len(list_distinct(regexp_extract_all(t, '{_ENT}')))::BIGINT AS entities FROM p")
+    + f"nullif({_FOLD.format(values=_BY_NAME.format(pattern=FA.VERSION))}, '') AS temporal, nullif({_FOLD.format(values=_BY_NAME.format(pattern=_ENT))}, '') AS entity FROM p")
 def q40_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select((-1 - F.col("page_id")).alias("doc_id"), F.col("html").alias("text"))
     made = FA.facets(F.col("text"))
-    count = lambda pattern: F.size(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))).cast("long")
-    rows = _docs(spark, sf_dir).unionByName(pages)
-    return rows.select("doc_id", made["task"].alias("task"), made["relation"].alias("relation"), count(FA.VERSION).alias("versions"), count(FA.ENTITY).alias("entities"))
+    return _docs(spark, sf_dir).unionByName(pages).select("doc_id", *[c.alias(n) for n, c in made.items()])
 
 
 @query(f"""WITH {BM25}, r AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm JOIN documents USING (doc_id) WHERE lang = 'en' AND score >= 1.0)
@@ -277,8 +281,8 @@ SELECT query_id, doc_id, rank, round(score, 6) AS score FROM r WHERE rank <= 5""
 def q41_constrained_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     allowed = docs.where("lang = 'en'").select("doc_id")
-    scored = R.bm25(_queries(spark, sf_dir), docs).where("score >= 1.0").join(allowed, "doc_id", "left_semi")
-    return R.ranked(scored, 5).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    scored = R.bm25(_queries(spark, sf_dir), docs, allowed=allowed, k=5)
+    return R.ranked(scored.where("score >= 1.0"), 5).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,13 +86,15 @@ def q31b_requirement_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT *, sum((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS v FROM events),
-h AS (SELECT user_id, event_type = 'error' AS m, row_number() OVER (PARTITION BY user_id, v, event_type = 'error' ORDER BY ts, event_id) AS n FROM e)
-SELECT user_id, count(*) FILTER (NOT m) AS handoffs, count(*) FILTER (m) AS mutations, count(*) FILTER (NOT m AND n > 1) AS hits FROM h GROUP BY user_id
+WITH e AS (SELECT user_id, event_type = 'error' AS m, row_number() OVER (ORDER BY ts, event_id) AS n FROM events),
+h AS (SELECT user_id, m, max(CASE WHEN NOT m THEN n END) OVER u AS handoff, max(CASE WHEN m THEN n END) OVER u AS mine, max(CASE WHEN m THEN n END) OVER a AS anyone
+      FROM e WINDOW u AS (PARTITION BY user_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT user_id, count(*) FILTER (NOT m) AS handoffs, count(*) FILTER (m) AS mutations, count(*) FILTER (NOT m AND handoff > coalesce(mine, 0)) AS hits,
+count(*) FILTER (NOT m AND handoff > coalesce(anyone, 0)) AS hits_global FROM h GROUP BY user_id
 """)
 def q34_receipt_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = RC.replay(table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type"), F.col("event_type") == "error")
-    return told.groupBy("user_id").agg(F.count_if(~F.col("m")).alias("handoffs"), F.count_if("m").alias("mutations"), F.count_if("hit_selective").alias("hits"))
+    return told.groupBy("user_id").agg(F.count_if(~F.col("m")).alias("handoffs"), F.count_if("m").alias("mutations"), F.count_if("hit_selective").alias("hits"), F.count_if("hit_global").alias("hits_global"))
 
 
 @query("""

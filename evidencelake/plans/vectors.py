@@ -2,26 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import blocks as B
 from ..operators import retrieval as R
 from ..operators import selection as S
 from ..operators import stamps as ST
 from ..operators.lifecycle import shared
 from ..operators.routing import RoutingPolicy, progressive_route
-from ..sources.tables import table
+from ..sources.tables import stored, table
 from .registry import query
 
 FAMILY = ST.Family("embedding-64", 64, 64)
 #: Searches ask with every row whose id is divisible by this.
 EACH = 20
-#: Rows of a block of vectors, about.
-BLOCK = 2048
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,11 +63,9 @@ def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hamming(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    """The stated query set against all codes, by 64-bit lanes; of each task's rows k a query are shuffled."""
-    codes = _codes(spark, sf_dir)
-    asked = _asked(codes, F.col("c").alias("q"))
-    scored = codes.join(asked, F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", ST.agreement(F.col("q"), F.col("c"), 64).alias("score"))
-    return R.ranked(scored, k, item="vec_id")
+    """The stated query set against all codes, in blocks."""
+    codes = _codes(spark, sf_dir).select("vec_id", ST.pack({"semantic": (F.col("c"), 64)}).alias("code"))
+    return R.ranked(B.hamming_topk(_asked(codes, "code"), codes, k, views=[(8, 1.0)]), k, item="vec_id")
 
 
 @query(f"WITH {HAMMING} SELECT query_id, vec_id, rank, score FROM hr WHERE rank <= 10")
@@ -89,8 +82,7 @@ def q19_binary_then_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _vectors(spark, sf_dir).select("vec_id", "v")
     short = shared(_hamming(spark, sf_dir, 50).select("query_id", "vec_id"))
     near = short.join(rows, "vec_id").join(_asked(rows, F.col("v").alias("q")), "query_id")
-    dot = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    best = R.ranked(near.select("query_id", "vec_id", dot.alias("score")), 10, item="vec_id").select("query_id", "vec_id", F.lit(1).alias("hit"))
+    best = R.ranked(near.select("query_id", "vec_id", B.dot("q", "v").alias("score")), 10, item="vec_id").select("query_id", "vec_id", F.lit(1).alias("hit"))
     exact = _dense(spark, sf_dir, 10).select("query_id", "vec_id")
     return exact.join(best, ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.round(F.count("hit") / 10, 6).alias("recall"))
 
@@ -120,23 +112,51 @@ def q33_progressive_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progressive_route(cases, policy, scope="embeddings", limit=10).groupBy("route", "reason").agg(F.count("*").alias("n"))
 
 
-VIEWS = {"entity": 2.0, "policy": 1.0, "semantic": 4.0, "task": 1.0}
+PROFILE = ST.profile_families("embedding-64", 64)
+#: Bits of the packed 256-bit code in its order, high bit first: (view, bit of the view).
+PACKED = [(name, bit) for name in sorted(PROFILE) for bit in reversed(range(PROFILE[name].bits))]
+WEIGHTS = {name: float(i + 1) for i, name in enumerate(sorted(PROFILE))}
+_ROWS = {name: family.planes() for name, family in PROFILE.items()}
+CODE256 = f"{V}, pl(pos, w) AS (VALUES " + ", ".join(f"({i}, {[float(x) for x in _ROWS[name][bit]]})" for i, (name, bit) in enumerate(PACKED)) + """),
+bits AS (SELECT vec_id, pos, list_dot_product(v, w::DOUBLE[]) >= 0 AS b FROM v, pl), codes AS (SELECT vec_id, list(b::INT ORDER BY pos) AS c FROM bits GROUP BY 1)"""
+
+
+def _views(vector: str) -> dict:
+    """All views of the profile look at one vector here; their planes differ."""
+    return {name: F.col(vector) for name in PROFILE}
+
 
+def _codes256(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, code, lanes of each view): packed into 32 bytes."""
+    made = _vectors(spark, sf_dir).select("vec_id", *[c.alias(n) for n, c in ST.spherical(_views("v"), PROFILE).items()])
+    return stored(made.withColumn("code", ST.pack({n: (F.col(n), f.bits) for n, f in PROFILE.items()})))
 
-@query(f"""WITH {V}, s AS (SELECT a.vec_id AS query_id, b.vec_id, """ + " + ".join(f"{w / 8} * list_dot_product(a.v[{16 * i + 1}:{16 * i + 16}], b.v[{16 * i + 1}:{16 * i + 16}])" for i, w in enumerate(VIEWS.values())) + f""" AS score
-FROM v a, v b WHERE a.vec_id % {EACH} = 0 AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s)
-SELECT query_id, vec_id, rank, round(score, 6) AS score FROM r WHERE rank <= 10""")
+
+@query(f"WITH {CODE256}, s AS (SELECT a.vec_id AS query_id, b.vec_id, (" + " + ".join(
+    f"{WEIGHTS[n]} * (1 - (list_sum(list_transform(list_zip(a.c[{lo + 1}:{lo + PROFILE[n].bits}], b.c[{lo + 1}:{lo + PROFILE[n].bits}]), lambda x: abs(x[1] - x[2]))) / {float(PROFILE[n].bits)}))"
+    for n in sorted(PROFILE) for lo in [min(i for i, (name, _) in enumerate(PACKED) if name == n)]
+) + f""") / {sum(WEIGHTS.values())} AS score FROM codes a, codes b WHERE a.vec_id % {EACH} = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s)
+SELECT query_id, vec_id, rank, round(score, 5) AS score FROM r WHERE rank <= 10""")
 def q20_multiview_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted views of one vector: the weights scale the query's slices, so that one product scores all views."""
-    rows = _vectors(spark, sf_dir)
-    scaled = F.transform("v", lambda x, i: x * F.element_at(F.array(*[F.lit(w / 8) for w in VIEWS.values()]), F.floor(i / 16).cast("int") + 1))
-    best = R.dense_topk(_asked(rows, scaled.alias("v")), rows.select("vec_id", "v"), 10)
-    return best.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    """Weighted agreement of the views of 256-bit codes."""
+    codes = _codes256(spark, sf_dir).select("vec_id", "code")
+    views = [(PROFILE[n].bits // 8, WEIGHTS[n]) for n in sorted(PROFILE)]
+    best = R.ranked(B.hamming_topk(_asked(codes, "code"), codes, 10, views=views), 10, item="vec_id")
+    return best.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("score", 5).alias("score"))
 
 
-@query(f"""WITH {CODES} SELECT vec_id, array_to_string(list_transform(range(16), lambda i: substr('0123456789abcdef', (8 * c[64 - 4 * i]::INT + 4 * c[63 - 4 * i]::INT + 2 * c[62 - 4 * i]::INT + c[61 - 4 * i]::INT + 1), 1)), '') AS code FROM codes""")
+@query(f"WITH {CODE256} SELECT vec_id, array_to_string(list_transform(range(64), lambda i: substr('0123456789abcdef', (8 * c[4 * i + 1] + 4 * c[4 * i + 2] + 2 * c[4 * i + 3] + c[4 * i + 4] + 1), 1)), '') AS code, true AS same, true AS same_text FROM codes")
 def q21_pack32_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _codes(spark, sf_dir).select("vec_id", F.lower(F.hex(ST.pack({"semantic": (F.col("c"), 64)}))).alias("code"))
+    """32-byte codes; whether unpacking them, and the compact text form, gives the views and the code again."""
+    schema = ST.schema_identity(PROFILE)
+    codes = _codes256(spark, sf_dir)
+    back = ST.unpack(F.col("code"), {n: f.bits for n, f in PROFILE.items()})
+    same = F.lit(True)
+    for n in PROFILE:
+        same = same & (back[n] == F.col(n))
+    text = ST.parse_payload(ST.payload(F.col("code"), schema), schema)
+    return codes.select("vec_id", F.lower(F.hex("code")).alias("code"), same.alias("same"), (text == F.col("code")).alias("same_text"))
 
 
 @query(f"WITH {CODES}, p AS (SELECT bit, avg(b::INT) AS p FROM bits GROUP BY 1) SELECT bit::INTEGER AS bit, round(p, 6) AS p, round(CASE WHEN p > 0 AND p < 1 THEN -p * log2(p) - (1 - p) * log2(1 - p) ELSE 0 END, 6) AS entropy FROM p")
@@ -151,28 +171,24 @@ def q29_mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.mmr(shared(_dense(spark, sf_dir, 50)).join(rows, "vec_id"))
 
 
-def _residual(spark: SparkSession, sf_dir: str, k: int) -> tuple[DataFrame, DataFrame]:
-    """(candidates, refined): int8 codes and residual lengths bound each product; only rows whose upper bound reaches the k-th lower bound are scored exactly."""
+def _residual(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """int8 codes and residual lengths bound each product; only rows whose upper bound reaches the k-th lower bound are scored exactly."""
     rows = _vectors(spark, sf_dir).select("vec_id", "v")
     top = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    scale = F.greatest(top / 127.0, F.lit(1e-300))
-    coded = rows.select("vec_id", "v", scale.alias("s")).withColumn("z", F.transform("v", lambda x: F.round(x / F.col("s")).cast("tinyint")))
-    gap = F.sqrt(F.aggregate(F.zip_with("v", "z", lambda x, z: x - z * F.col("s")), F.lit(0.0), lambda a, d: a + d * d))
-    index = shared(coded.withColumn("gap", gap))
-    asked = _asked(rows, F.col("v").alias("q")).withColumn("ql", F.sqrt(F.aggregate("q", F.lit(0.0), lambda a, x: a + x * x)))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    met = index.select("vec_id", "z", "s", "gap").join(asked, F.col("vec_id") != F.col("query_id"))  # the stated query set against all rows
-    bounds = shared(met.select("query_id", "vec_id", (F.col("s") * dot("q", F.transform("z", lambda z: z.cast("double")))).alias("mid"), (F.col("gap") * F.col("ql") + 1e-10).alias("slack")))
+    coded = rows.select("vec_id", "v", F.greatest(top / 127.0, F.lit(1e-300)).alias("scale")).withColumn("z", F.transform("v", lambda x: F.round(x / F.col("scale")).cast("tinyint")))
+    gap = F.sqrt(F.aggregate(F.zip_with("v", "z", lambda x, z: x - z * F.col("scale")), F.lit(0.0), lambda a, d: a + d * d))
+    index = stored(coded.select("vec_id", "z", "scale", gap.alias("gap")))
+    asked = _asked(rows, "v").withColumn("length", F.sqrt(B.dot("v", "v")))
+    bounds = shared(B.residual_topk(asked, index, k))
     low = R.ranked(bounds.select("query_id", "vec_id", (F.col("mid") - F.col("slack")).alias("score")), k, item="vec_id").groupBy("query_id").agg(F.min("score").alias("floor"))
     live = bounds.join(low, "query_id").where(F.col("mid") + F.col("slack") >= F.col("floor") - 1e-9).select("query_id", "vec_id")
-    exact = live.join(rows, "vec_id").join(asked.select("query_id", "q"), "query_id").select("query_id", "vec_id", dot("q", "v").alias("score"))
-    return bounds, R.ranked(exact, k, item="vec_id")
+    exact = live.join(rows, "vec_id").join(asked.select("query_id", F.col("v").alias("q")), "query_id").select("query_id", "vec_id", B.dot("q", "v").alias("score"))
+    return R.ranked(exact, k, item="vec_id")
 
 
 @query(f"WITH {DENSE} SELECT query_id, vec_id, rank, round(score, 6) AS score FROM dr WHERE rank <= 10")
 def q38_residual_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, best = _residual(spark, sf_dir, 10)
-    return best.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    return _residual(spark, sf_dir, 10).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {V}, c AS (SELECT i, sum(v[i]) AS s FROM v, range(1, 65) r(i) GROUP BY 1), t AS (SELECT list(s ORDER BY i) AS t, (SELECT count(*) FROM v) AS n FROM c)
@@ -183,29 +199,19 @@ def q42_mean_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = rows.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("s"))
     total = sums.agg(F.array_sort(F.collect_list(F.struct("i", "s")))["s"].alias("t"))  # one row of fixed width
     n = rows.agg(F.count("*").alias("n"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return rows.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(n)).select("vec_id", F.round((dot("v", "t") - dot("v", "v")) / (F.col("n") - 1), 6).alias("similarity"))
+    return rows.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(n)).select("vec_id", F.round((B.dot("v", "t") - B.dot("v", "v")) / (F.col("n") - 1), 6).alias("similarity"))
 
 
 @query(f"""WITH {DENSE} SELECT query_id, count(*) FILTER (score >= 0.9) AS near, round(count(*) FILTER (score >= 0.9) / count(*), 9) AS rate FROM dr GROUP BY 1""")
 def q43_dup_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _vectors(spark, sf_dir)
-    asked, items = _asked(rows, "v"), rows.select("vec_id", "v")
     n = rows.agg(F.count("*").alias("n"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):  # lists of one pair of blocks at a time
-                score = np.array(row["qv"]) @ np.array(row["iv"]).T
-                score[np.array(row["qs"])[:, None] == np.array(row["vs"])[None, :]] = -1
-                yield pa.RecordBatch.from_pydict({"query_id": row["qs"], "near": (score >= 0.9).sum(axis=1)})
-
-    def block(frame: DataFrame, key: str, a: str, b: str) -> DataFrame:
-        """Blocks of about BLOCK rows, however many there are."""
-        blocks = frame.agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.lit(1)).cast("int").alias("blocks"))
-        dealt = frame.crossJoin(F.broadcast(blocks)).withColumn("b", F.pmod(F.xxhash64(key), F.col("blocks")))  # blocks is one row
-        return dealt.groupBy("b").agg(F.collect_list(F.struct(key, "v")).alias("m")).select(F.col("b").alias(f"b{a}"), F.col(f"m.{key}").alias(a), F.col("m.v").alias(b))
-
-    met = block(asked, "query_id", "qs", "qv").join(block(items, "vec_id", "vs", "iv"), F.lit(True)).repartition("bqs", "bvs")
-    got = met.mapInArrow(count, "query_id long, near long").groupBy("query_id").agg(F.sum("near").alias("near")).crossJoin(F.broadcast(n))
+    def near(row: dict) -> dict:
+        score = row["qb_v"] @ row["ib_v"].T
+        score[row["qb_ids"][:, None] == row["ib_ids"][None, :]] = -1
+        return {"query_id": row["qb_ids"], "near": (score >= 0.9).sum(axis=1)}
+
+    met = B.blockwise(B.block_pairs(_asked(rows, "v"), rows.select("vec_id", "v"), ["v"], ["v"]), near, "query_id long, near long")
+    got = met.groupBy("query_id").agg(F.sum("near").alias("near")).crossJoin(F.broadcast(n))  # n is one row
     return got.select("query_id", "near", F.round(F.col("near") / (F.col("n") - 1), 9).alias("rate"))

@@ -6,7 +6,7 @@ import json
 import uuid
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_TEXT = 65_536
@@ -30,20 +30,78 @@ def read_qrels(spark: SparkSession, path: str, *, positive: bool = False) -> Dat
     return named.where("gain > 0") if positive else named
 
 
-def read_files(spark: SparkSession, root: str, paths: list[str], *, most: int = MAX_TEXT) -> DataFrame:
-    """(source, text, digest, status) of allow-listed files below a root: current, missing or too_large."""
+def read_files(spark: SparkSession, root: str, paths: list[str], *, most: int = MAX_TEXT, allowed: int = 128) -> DataFrame:
+    """(source, text, digest, status) of allow-listed files below a root: current, missing or too_large.
+
+    At most ``allowed`` paths, which are looked up one by one through the store's own file system: no other file is
+    listed or read.  A link that leads out of the root is missing.
+    """
     for path in paths:
         if path.startswith("/") or ".." in PurePosixPath(path).parts:
             raise ValueError(f"{path} leaves the root")
+    if len(paths) > allowed:
+        raise ValueError(f"at most {allowed} paths")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    store = top.getFileSystem(conf)
+    top = store.resolvePath(top)
+    if store.getScheme() == "file":
+        top = jvm.org.apache.hadoop.fs.Path(jvm.java.io.File(top.toUri().getPath()).toPath().toRealPath(spark._sc._gateway.new_array(jvm.java.nio.file.LinkOption, 0)).toUri())
+    there = {}
+    for path in paths:
+        full = jvm.org.apache.hadoop.fs.Path(top, path)
+        if store.exists(full) and store.getFileStatus(full).isFile() and _plain(jvm, store, full):
+            there[str(full)] = path
     listed = spark.createDataFrame([(p,) for p in paths], "source string")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    named = spark.createDataFrame(list(there.items()), "path string, source string")
+    if not there:
+        return listed.select("source", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("digest"), F.lit("missing").alias("status"))
+    found = spark.read.format("binaryFile").load(list(there))
     body = F.when(F.col("length") <= most, F.decode("content", "UTF-8"))
-    named = found.select(F.col("path"), "length", body.alias("text"))
-    joined = listed.join(named, F.endswith("path", F.concat(F.lit("/"), F.col("source"))), "left")
+    plain = lambda c: F.regexp_replace(c, "^[a-z]+:/+", "/")  # noqa: E731  with or without a scheme
+    read = found.select(plain(F.col("path")).alias("path"), "length", body.alias("text")).join(F.broadcast(named.withColumn("path", plain(F.col("path")))), "path")
+    joined = listed.join(read, "source", "left")
     status = F.when(F.col("path").isNull(), "missing").when(F.col("length") > most, "too_large").otherwise("current")
     return joined.select("source", "text", F.sha2("text", 256).alias("digest"), status.alias("status"))
 
 
+def _plain(jvm, store, full) -> bool:
+    """No link on the way; only local folders have them."""
+    local = full.toUri().getPath()
+    return store.getScheme() != "file" or jvm.java.io.File(local).getCanonicalPath() == local
+
+
+def stored(frame: DataFrame) -> DataFrame:
+    """Written as a table in the shared checkpoint folder and read again: made once, and safe from lost executors."""
+    from ..operators.lifecycle import checkpoint_dir
+
+    path = f"{checkpoint_dir(frame.sparkSession)}/table-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def version_map(text: Column) -> Column:
+    """map<string,string> of a JSON text; null unless it is an object whose values are texts."""
+    made = F.from_json(text, "map<string,string>")
+    kinds = F.from_json(text, "map<string,variant>")
+    return F.when(F.forall(F.map_values(kinds), lambda v: F.schema_of_variant(v) == "STRING"), made)
+
+
+def read_vectors(spark: SparkSession, path: str, column: str, digest: str | None = None) -> DataFrame:
+    """A Parquet table of vectors; with ``digest``, that of vector_digest(), an error if its content is another."""
+    rows = spark.read.parquet(path)
+    if digest is not None and vector_digest(rows, column) != digest:
+        raise ValueError(f"{path} does not have the content it should have")
+    return rows
+
+
+def vector_digest(rows: DataFrame, column: str) -> str:
+    """An order-free checksum of a column's vectors and their number."""
+    part = F.pmod(F.xxhash64(column), F.lit(1 << 31)).cast("decimal(38,0)")
+    told = rows.agg(F.count("*").alias("n"), F.sum(part).alias("s"), F.sum(F.pmod(F.xxhash64(F.lit(1), column), F.lit(1 << 31)).cast("decimal(38,0)")).alias("t")).first()
+    return f"{told['n']}-{told['s'] or 0}-{told['t'] or 0}"
+
+
 def quarantine(items: DataFrame, *, most: int = MAX_TEXT) -> DataFrame:
     """Add ``reject_reason``: null for rows within bounds, else what is wrong with source or text."""
     reason = (
@@ -54,6 +112,10 @@ def quarantine(items: DataFrame, *, most: int = MAX_TEXT) -> DataFrame:
     return items.withColumn("reject_reason", reason)
 
 
+#: What the rows of a store are.
+ITEMS = "source string, text string, digest string, stamp string, dependencies array<struct<name:string,version:string>>, stale boolean"
+
+
 def write_snapshot(items: DataFrame, root: str, family_identity: str) -> str:
     """A new immutable version below root, with a metadata row that names the projection family; its path."""
     path = f"{root}/version-{uuid.uuid4().hex}"

@@ -12,17 +12,45 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def replay(events: DataFrame, mutation: Column, *, key: str = "user_id") -> DataFrame:
-    """Add ``m`` and ``hit_selective`` to events(event_id, ts, key): whether a handoff finds its receipt.
+    """Add ``m``, ``hit_selective`` and ``hit_global`` to events(event_id, ts, key): whether a handoff finds its receipt.
 
-    A receipt of the key is there if a handoff came since the last mutation of that key.  Hits under global
-    invalidation, by a mutation of any key, are not built.
+    A receipt of the key is there if a handoff came since the last mutation of that key; under global invalidation,
+    since the last mutation of any key.  The latter's time comes from running maxima within hours and one over the hours
+    (a row each), so that no window holds all events.
     """
-    marked = events.withColumn("m", mutation)
+    at = F.struct(F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    marked = events.withColumn("m", mutation).withColumn("__at", at).withColumn("__hour", F.date_trunc("hour", F.col("ts").cast("timestamp")))
     order = Window.partitionBy(key).orderBy("ts", "event_id")
-    versions = F.count_if("m").over(order)
-    mine = marked.withColumn("v", versions)
-    earlier = Window.partitionBy(key, "v").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return mine.withColumn("hit_selective", ~F.col("m") & (F.coalesce(F.count_if(~F.col("m")).over(earlier), F.lit(0)) > 0)).drop("v")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda when, over: F.max(F.when(when, F.col("__at"))).over(over)
+    mine = marked.withColumn("__handoff", last(~F.col("m"), earlier)).withColumn("__mutation", last(F.col("m"), earlier))
+    within = Window.partitionBy("__hour").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    hours = marked.groupBy("__hour").agg(F.max(F.when(F.col("m"), F.col("__at"))).alias("__top"))
+    before = hours.select("__hour", F.max("__top").over(Window.orderBy("__hour").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    timed = mine.withColumn("__within", last(F.col("m"), within)).join(before, "__hour")
+    hit = lambda since: ~F.col("m") & F.coalesce(F.col("__handoff").isNotNull() & (since.isNull() | (F.col("__handoff") > since)), F.lit(False))
+    told = timed.withColumn("hit_selective", hit(F.col("__mutation"))).withColumn("hit_global", hit(F.coalesce("__within", "__before")))
+    return told.drop("__at", "__hour", "__handoff", "__mutation", "__within", "__before")
+
+
+def recent(outcomes: DataFrame, by: str, *order: str, most: int = 128) -> DataFrame:
+    """The newest ``most`` rows of each key, the newest first, with their ``place``."""
+    newest = Window.partitionBy(by).orderBy(*[F.col(c).desc() for c in order])
+    return outcomes.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= most)
+
+
+def context_changed(calls: DataFrame, mutations: DataFrame) -> DataFrame:
+    """Add ``changed`` to calls(call_id, key, began, ended): a mutation(key, at) of the key came after it began and by its end.
+
+    Mutations are counted up to both ends of each call in one ordered pass by key, not joined by range.
+    """
+    end = lambda kind, at: calls.select("key", F.col(at).alias("at"), F.lit(1).alias("last"), F.lit(0).alias("n"), "call_id", F.lit(kind).alias("end"))
+    ticks = mutations.select("key", "at", F.lit(0).alias("last"), F.lit(1).alias("n"), F.lit(None).cast(calls.schema["call_id"].dataType).alias("call_id"), F.lit(None).cast("string").alias("end"))
+    line = ticks.unionByName(end("b", "began")).unionByName(end("e", "ended"))
+    upto = Window.partitionBy("key").orderBy("at", "last").rowsBetween(Window.unboundedPreceding, 0)
+    counted = line.withColumn("seen", F.sum("n").over(upto)).where("end is not null")
+    ends = counted.groupBy("call_id").agg(F.max(F.when(F.col("end") == "b", F.col("seen"))).alias("b"), F.max(F.when(F.col("end") == "e", F.col("seen"))).alias("e"))
+    return calls.join(ends.select("call_id", (F.col("e") > F.col("b")).alias("changed")), "call_id")
 
 
 def reuse(requests: DataFrame, identity: Column, size: Column, *order: str) -> DataFrame:
@@ -40,13 +68,17 @@ def sessions(events: DataFrame, *, gap: str = "30 minutes", late: str = "1 hour"
     return timed.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
 
 
-def lru_hit(kept: dict[str, float], item: str, now: float, capacity: int, ttl_seconds: float) -> bool:
-    """Whether ``item`` is in the cache at ``now``; ``kept`` (item to its time, oldest use first) is brought up to date."""
-    for k in [k for k, t in kept.items() if now - t >= ttl_seconds]:
+def lru_hit(kept: dict[str, tuple[float, int]], item: str, now: float, capacity: int, ttl_seconds: float, size: int = 0, most_bytes: int | None = None) -> bool:
+    """Whether ``item`` is in the cache at ``now``; ``kept`` (item to its time and bytes, oldest use first) is brought up to date.
+
+    What is larger than the whole cache is not kept.
+    """
+    for k in [k for k, (t, _) in kept.items() if now - t >= ttl_seconds]:
         del kept[k]
     made = kept.pop(item, None)
-    kept[item] = now if made is None else made
-    while len(kept) > capacity:
+    if made is not None or most_bytes is None or size <= most_bytes:
+        kept[item] = made or (now, size)
+    while len(kept) > capacity or (most_bytes is not None and sum(b for _, b in kept.values()) > most_bytes):
         kept.pop(next(iter(kept)))
     return made is not None
 
@@ -57,8 +89,8 @@ def lru_hits(events: pd.DataFrame, capacity: int, ttl_seconds: float) -> pd.Data
     return events.assign(hit=[lru_hit(kept, row.item, row.ts.timestamp(), capacity, ttl_seconds) for row in events.itertuples()])
 
 
-def ttl_lru(events: DataFrame, *, capacity: int = 2, ttl_seconds: float = 86_400.0) -> DataFrame:
-    """(principal, event_id, hit) from events(principal, event_id, ts, item): an ordered fold per principal.
+def ttl_lru(events: DataFrame, *, capacity: int = 2, ttl_seconds: float = 86_400.0, most_bytes: int | None = None) -> DataFrame:
+    """(principal, event_id, hit) from events(principal, event_id, ts, item, and bytes if they are bounded): an ordered fold per principal.
 
     A principal's events come sorted and in batches, and between batches only its live cache is kept, so memory does
     not grow with the events of a principal.  The fold itself is in order: a principal is in one task.
@@ -66,17 +98,18 @@ def ttl_lru(events: DataFrame, *, capacity: int = 2, ttl_seconds: float = 86_400
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before: object = fold  # no principal, not even null
-        kept: dict[str, float] = {}
+        kept: dict[str, tuple[float, int]] = {}
         for batch in batches:
             principals, hits = batch["principal"].to_pylist(), []
             times = batch["at"].to_pylist()
-            for principal, item, at in zip(principals, batch["item"].to_pylist(), times, strict=True):
+            for principal, item, at, size in zip(principals, batch["item"].to_pylist(), times, batch["bytes"].to_pylist(), strict=True):
                 if principal != before:
                     before, kept = principal, {}
-                hits.append(lru_hit(kept, item, at / 1e6, capacity, ttl_seconds))
+                hits.append(lru_hit(kept, item, at / 1e6, capacity, ttl_seconds, size, most_bytes))
             yield pa.RecordBatch.from_arrays([batch["principal"], batch["event_id"], pa.array(hits, pa.bool_())], names=["principal", "event_id", "hit"])
 
-    timed = events.select("principal", "event_id", "item", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    size = F.col("bytes").cast("long") if "bytes" in events.columns else F.lit(0).cast("long")
+    timed = events.select("principal", "event_id", "item", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), size.alias("bytes"))
     dealt = timed.repartition("principal").sortWithinPartitions("principal", "at", "event_id")
     return dealt.mapInArrow(fold, "principal long, event_id long, hit boolean")
 
