@@ -56,15 +56,14 @@ def survivors(part: np.ndarray, length: np.ndarray, query: np.ndarray, query_len
     return np.flatnonzero(((x >= low) & (x <= high)).all(axis=1))
 
 
-def best(part: np.ndarray, queries: np.ndarray, bounds: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the rows of a part with the k largest products not below its bound, and those products.
+def best(part: np.ndarray, least: np.ndarray, queries: np.ndarray, bounds: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the rows of a part with the k largest products not below its bound, ties to the row of ``least`` id, and those products.
 
-    Rows that tie with the last are all given.  Products are exact: as doubles where no sum can leave 2^53, else as
-    Python integers.
+    Products are exact: as doubles where no sum can leave 2^53, else as Python integers.
     """
     length = np.sqrt((part.astype(np.float64) ** 2).sum(axis=1))
     lengths = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
-    safe = float(np.abs(part).max(initial=0)) * float(np.abs(queries).max(initial=0)) * part.shape[1] < 2**53
+    safe = float(np.abs(part.astype(np.float64)).max(initial=0)) * float(np.abs(queries.astype(np.float64)).max(initial=0)) * part.shape[1] < 2**53
     exact = np.float64 if safe else object
     rows, asked = part.astype(exact), queries.astype(exact)
     wide = [survivors(part, length, q, ln, float(b)) for q, ln, b in zip(queries, lengths, bounds, strict=True)]
@@ -79,8 +78,11 @@ def best(part: np.ndarray, queries: np.ndarray, bounds: np.ndarray, k: int) -> l
         ok = score >= bounds[i]
         at, score = at[ok], score[ok]
         if len(score) > k:
-            least = np.sort(score)[-k]
-            at, score = at[score >= least], score[score >= least]
+            edge = np.sort(score)[-k]
+            ok = score >= edge
+            at, score = at[ok], score[ok]
+            first = np.lexsort((least[at], -score))[:k] if safe else sorted(range(len(at)), key=lambda j: (-score[j], least[at[j]]))[:k]
+            at, score = at[first], score[first]
         out.append((at, score))
     return out
 
@@ -90,33 +92,36 @@ def top_products(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where ``is_query`` holds, the k other rows of largest product.
 
-    Ties go to the smaller vec_id; fewer than k are given where there are no more.  "Other" means another vec_id, so
-    rows that repeat the query's own id are left out with it.  Vectors that are null, empty or hold null or non-finite
-    components take no part, nor do rows with null vec_id; only vectors of equal length are compared.  Zero and
-    negative scores count like any other.  Other columns are not looked at.
+    Ties go to the smaller vec_id; fewer than k are given where there are no more.  "Other" leaves out the query's own
+    row only: rows that repeat its vec_id are rows like any other, and each repeated query row has answers of its own.
+    Vectors that are null, empty or hold null or non-finite components take no part, nor do rows with null vec_id; only
+    vectors of equal length are compared.  Zero and negative scores count like any other.  Components and scores beyond
+    the range of a long are given as its ends.  Other columns are not looked at.
     """
     kept = vectors.where(F.col(vec_id).isNotNull() & finite(F.col(vector)))
     rows = kept.select(F.col(vec_id).alias("vec_id"), quantised(F.col(vector), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = cut(rows.withColumn("ck", class_key(F.col("v"))).withColumn("dim", F.size("v")))
     rank = F.row_number().over(Window.partitionBy("ck").orderBy("vec_id"))
-    ids = rows.select("ck", "vec_id").distinct().withColumn("r", rank).where(F.col("r") <= k + 1)
+    ids = rows.select("ck", "vec_id").withColumn("r", rank).where(F.col("r") <= k + 1)
     few = ids.groupBy("ck").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    classes = rows.groupBy("ck", "dim").agg(F.any_value("v").alias("v")).join(few, "ck")
+    classes = rows.groupBy("ck", "dim").agg(F.any_value("v").alias("v")).join(few, "ck").withColumn("least", F.element_at("ids", 1))
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
     bucket = F.when(square > 0, F.floor(F.log(square) / (2 * float(np.log(RATIO))))).otherwise(-1).cast("int")
-    placed = cut(classes.withColumn("bucket", bucket))
+    placed = cut(classes.withColumn("square", square).withColumn("bucket", bucket))
     counts = placed.groupBy("dim", "bucket").agg(F.ceil(F.count("*") / F.lit(PART)).cast("int").alias("parts"))
     placed = placed.join(counts, ["dim", "bucket"]).withColumn("part", F.pmod(F.xxhash64("ck"), F.col("parts")))
-    entry = F.struct(F.col("ck"), F.col("v"))
-    packs = cut(placed.groupBy("dim", "bucket", "part").agg(F.collect_list(entry).alias("m")).select("dim", "bucket", "part", F.col("m.ck").alias("cks"), F.col("m.v").alias("vs")))
+    packed = placed.groupBy("dim", "bucket", "part").agg(F.collect_list(F.struct("ck", "v", "least")).alias("m"), F.sqrt(F.max("square")).alias("longest"))
+    packs = cut(packed.select("dim", "bucket", "part", "longest", F.col("m.ck").alias("cks"), F.col("m.v").alias("vs"), F.col("m.least").alias("leasts")))
 
-    asking = rows.where("asks").select("ck", "dim", "v").dropDuplicates(["ck"])
+    asking = rows.where("asks").select("ck", "dim", "v", F.sqrt(square).alias("length")).dropDuplicates(["ck"])
     sizes = asking.groupBy("dim").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     numbered = asking.join(sizes, "dim").withColumn("block", F.pmod(F.xxhash64(F.lit(3), "ck"), F.col("blocks")))
 
     def blocks_of(queries: DataFrame) -> DataFrame:
-        grouped = queries.groupBy("dim", "block").agg(F.collect_list(F.struct("ck", "v", "bound")).alias("q"))
-        return grouped.select("dim", "block", F.col("q.ck").alias("qs"), F.col("q.v").alias("qvs"), F.col("q.bound").alias("bounds"))
+        """Blocks of queries, and the length that a vector needs at least to matter to any of them."""
+        need = F.when((F.col("bound") > 0) & (F.col("length") > 0), F.col("bound") / F.col("length")).otherwise(0.0)
+        grouped = queries.groupBy("dim", "block").agg(F.collect_list(F.struct("ck", "v", "bound")).alias("q"), F.min(F.coalesce(need, F.lit(0.0))).alias("need"))
+        return grouped.select("dim", "block", "need", F.col("q.ck").alias("qs"), F.col("q.v").alias("qvs"), F.col("q.bound").alias("bounds"))
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shape = pa.schema([("q", pa.string()), ("ck", pa.string()), ("score", pa.int64())])
@@ -126,17 +131,21 @@ def top_products(
                 part, queries = np.array(row["vs"][0], np.int64), np.array(row["qvs"][0], np.int64)
                 order = np.argsort(-(part.astype(np.float64) ** 2).sum(axis=1), kind="stable")
                 bounds = np.array([float("-inf") if b is None else b for b in row["bounds"][0]])
-                keys = np.array(row["cks"][0], object)[order]
+                keys, least = np.array(row["cks"][0], object)[order], np.array(row["leasts"][0], np.int64)[order]
                 q, ck, score = [], [], []
-                for name, (at, values) in zip(row["qs"][0], best(part[order], queries, bounds, k + 1), strict=True):
+                for name, (at, values) in zip(row["qs"][0], best(part[order], least, queries, bounds, k + 1), strict=True):
                     q += [name] * len(at)
                     ck += keys[at].tolist()
-                    score += [int(v) for v in values]
+                    score += [max(-(1 << 63), min((1 << 63) - 1, int(v))) for v in values]
                 yield pa.RecordBatch.from_pydict({"q": q, "ck": ck, "score": score}, shape)
 
     def search(some: DataFrame, queries: DataFrame) -> DataFrame:
-        """Every part meets every block of queries: the stated query set against all rows."""
-        work = some.join(blocks_of(queries), "dim")
+        """Every part meets every block of queries that it is long enough for: the stated query set against all rows."""
+        asked = cut(blocks_of(queries))
+        near = F.col("longest") >= F.col("need") * (1 - 1e-9)
+        # which meet is told from their numbers; only then do the vectors join
+        ids = some.select("dim", "bucket", "part", "longest").join(asked.select("dim", "block", "need"), "dim").where(near).select("dim", "bucket", "part", "block")
+        work = ids.join(some, ["dim", "bucket", "part"]).join(asked.drop("need"), ["dim", "block"]).drop("longest")
         return work.repartition("bucket", "part", "block").mapInArrow(products, "q string, ck string, score long")
 
     # the longest vectors first: any k + 1 scores found there bound the k-th from below, the query's own class aside
@@ -147,13 +156,19 @@ def top_products(
     kth = tried.where("q <> ck").withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= k).groupBy("q").agg(F.min("score").alias("low"), F.count("*").alias("n"))
     bound = kth.where(F.col("n") >= k).select(F.col("q").alias("ck"), F.col("low").cast("double").alias("bound"))
     found = search(packs, numbered.join(bound, "ck", "left"))
-    # k + 1 classes hold k other rows at least, but those that tie with the last stay: smaller ids may be there
-    tied = found.withColumn("r", F.rank().over(Window.partitionBy("q").orderBy(F.col("score").desc()))).where(F.col("r") <= k + 1)
-    answers = tied.join(few, "ck").select("q", "score", F.explode("ids").alias("vec_id"))
+    # a row among the k + 1 best, by score and id, is of a class among the k + 1 best by score and least id
+    order = Window.partitionBy("q").orderBy(F.col("score").desc(), "least")
+    top = found.join(placed.select("ck", "least", "ids"), "ck").withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
+    answers = top.select("q", "score", F.explode("ids").alias("vec_id"))
     by_rank = Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id")
     answers = answers.withColumn("r", F.row_number().over(by_rank)).where(F.col("r") <= k + 1)
-    per_query = answers.groupBy("q").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("best"))
-    asked = rows.where("asks").select(F.col("vec_id").alias("query_id"), F.col("ck").alias("q")).distinct()
-    own = lambda x: x["vec_id"] != F.col("query_id")
-    chosen = asked.join(per_query, "q").select("query_id", F.posexplode(F.slice(F.filter("best", own), 1, k)).alias("at", "b"))
-    return chosen.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).cast("long").alias("score"))
+    entry = F.struct(F.col("r"), F.col("vec_id"), F.col("score"))
+    per_query = answers.groupBy("q").agg(F.array_sort(F.collect_list(entry)).alias("best"))
+    asked = rows.where("asks").select(F.col("vec_id").alias("query_id"), F.col("ck").alias("q"), F.monotonically_increasing_id().alias("n"))
+    # the query's own row: the first of its id with the score of its own class
+    own = found.where("q = ck").select("q", F.col("score").alias("own")).distinct()
+    mine = lambda x: (x["vec_id"] == F.col("query_id")) & (x["score"] == F.col("own"))
+    met = asked.join(per_query, "q").join(own, "q", "left")
+    at = F.coalesce(F.get(F.filter("best", mine), F.lit(0))["r"], F.lit(0))
+    chosen = met.select("query_id", F.posexplode(F.slice(F.filter("best", lambda x: x["r"] != at), 1, k)).alias("at", "b"))
+    return chosen.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))

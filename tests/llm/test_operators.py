@@ -294,6 +294,20 @@ def test_top_products_equal_brute_force(spark):
     assert topk.top_products(table.limit(0), F.lit(True)).count() == 0
 
 
+def test_top_products_of_odd_rows(spark):
+    rows = [(0, [0.0, 0.0]), (0, [3.0, 1.0]), (0, [3.0, 1.0]), (1, [3.0, 1.0]), (2, [1e15, -1e15]), (3, [1e15, 1e15]), (4, [-1.0, 0.5]), (5, None), (6, [float("inf"), 1.0])] + [(i, [0.0, 0.0]) for i in range(10, 30)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x")).withColumn("ck", F.lit("y"))
+    got = topk.top_products(table, F.col("vec_id") < 5, k=3).collect()
+    q = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if v is not None and np.isfinite(v).all()]
+    clip = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+    want = []
+    for n, (i, a) in enumerate(q):
+        if i < 5:
+            best = sorted((-clip(sum(x * y for x, y in zip(a, b))), j) for m, (j, b) in enumerate(q) if m != n)[:3]
+            want += [(i, r, j, -s) for r, (s, j) in enumerate(best, 1)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want)
+
+
 def test_pruning_keeps_all_that_reach_the_bound():
     rng = np.random.default_rng(3)
     part = rng.normal(size=(300, 8)) * rng.uniform(0.2, 3, size=(300, 1))
