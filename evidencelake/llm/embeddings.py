@@ -27,8 +27,8 @@ from .vectors import class_key, finite
 
 COSINE, BLOCKS, SEED = 0.9, 4, 5
 CHUNK, TILE = 2048, 512
-#: Sampled vectors, at most, that lay out the chunks.
-SAMPLE = 20_000
+#: Sampled vectors, at most, that lay out the chunks, and parts that a component's classes are dealt to.
+SAMPLE, SALTS = 20_000, 32
 
 
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:
@@ -223,9 +223,12 @@ def _join_packs(spark, rows: DataFrame, classes: DataFrame, packs: DataFrame, co
     found = cut(work.mapInArrow(links, "ck string, to string, n long"))
     counted = found.groupBy("ck").agg(F.sum("n").alias("links"))
     roots = components(found.select(F.col("ck").alias("a"), F.col("to").alias("b")))
-    known = classes.select("ck", "least", "n").join(roots.withColumnRenamed("node", "ck"), "ck", "left").withColumn("root", F.coalesce("root", "ck"))
-    smallest = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    judged = known.join(smallest, "root").join(counted, "ck", "left")
+    # classes without a link keep to themselves; the others' least ids meet them by root and salt, so that no large component is one task
+    known = classes.select("ck", "least", "n").join(roots.withColumnRenamed("node", "ck"), "ck", "left").withColumn("salt", F.pmod(F.xxhash64(F.lit(9), "ck"), F.lit(SALTS)))
+    smallest = known.where("root is not null").groupBy("root").agg(F.min("least").alias("of_all"))
+    salted = smallest.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    told = known.where("root is not null").join(salted, ["root", "salt"]).drop("salt").unionByName(known.where("root is null").withColumn("of_all", F.col("least")).drop("salt"))
+    judged = told.join(counted, "ck", "left").withColumnRenamed("of_all", "component_id")
     judged = judged.select("ck", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"))
     out = rows.select("vec_id", "ck").join(judged, "ck", "left")
     component = F.when(F.col("ck").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
