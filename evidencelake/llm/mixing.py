@@ -174,6 +174,7 @@ def mix(
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         """One source's lengths (a row per length): whole passes, and the number taken once more of each length."""
+        part = part.sort_values("size")  # rows come in any order, and the fit must not depend on it
         whole, target = int(part["source_size"].iloc[0]), float(part["target"].iloc[0])
         passes = int(target // whole) if whole else 0
         extra = fit_counts(part["size"], part["n"], round(target - passes * whole))
