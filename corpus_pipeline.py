@@ -19,26 +19,41 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; those without any letter go.  A null lang is filled in."""
+    """Documents in a learned language; those without any letter go, null and empty texts among them.
+
+    A null lang is filled in, any other stays.  Equal cosines go to the first language by name.  Where no document has a
+    lang, none is learned and all go; an empty table stays empty.  Null ids and repeated rows pass like any other.
+    """
     prototypes = language.learn(docs.where(~held_out()))
     guessed = language.predict(docs.select(*COLUMNS), prototypes).where("lang_pred <> 'und'")
     return guessed.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that another one keeps; those of which no word is left go."""
+    """Documents without the lines that another one keeps; those that lost lines and have no word left go.
+
+    The first occurrence by doc_id and place keeps a line, null ids before all.  Rows that repeat doc_id and text are one
+    document and lose the same lines; null and empty texts pass.  n_chars is counted anew, null for null text.
+    """
     cleaned = lines.dedup_lines(docs.select(*COLUMNS))
     left = cleaned.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[\p{L}\p{N}]"))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
+    """One document of each near-duplicate group: that of the smallest doc_id, null ids last.
+
+    Of rows that repeat its doc_id one stays, by text.  Null and wordless texts are one group.
+    """
     return simhash.keep_one(docs.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as the mix takes of it: none, one or two."""
+    """As many copies of each document as the mix takes of it: none, one or two.
+
+    Rows are known by all their columns, so null and shared ids are rows like any other, and equal rows add up.  Texts
+    without a word have size 0, are never taken and go.  Reruns take the same; an empty table gives none.
+    """
     # ids may be null or shared by different texts, so rows are known by all their columns, and equal rows add up
     row = F.concat_ws(":", key_of("doc_id"), F.xxhash64(*[key_of(c) for c in COLUMNS]))
     docs = docs.select(*COLUMNS, row.alias("__row"))
@@ -49,7 +64,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe_codes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each text, and whether they decode to it."""
+    """The token ids of each text, and whether they decode to it.  Null texts are empty: no ids, and they decode to it."""
     coded = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), tokenizer_path())
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
@@ -62,7 +77,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe_codes", bpe_codes),
 ]
 
-#: Prototypes, SimHash groups, the knapsack and BPE have no SQL form.  Of the stages a test calls mix_sources only; run() has none.
+#: Prototypes, SimHash groups, the knapsack and BPE have no SQL form: tests hold each stage, and run(), against plain loops.
 ORACLE_SQL = None
 
 
