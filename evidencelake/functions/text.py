@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Word characters of any script; the engine's own \\w is ASCII.
 TOKEN = r"[\p{L}\p{N}_]+"
+#: A run of word characters, or one character that is neither that nor a blank of any script.
+MARKS = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x1c-\x1f\x{85}]"
 #: The splits of the hundred buckets.
 SPLITS = (("train", 70), ("tune", 80), ("calibration", 90), ("test", 100))
 
@@ -66,7 +68,7 @@ def lexical_features(query: Column, words_: Column, base: Column, size: Column)
 
 def hashed_features(text: Column) -> Column:
     """Signed-hash features of a text: unigrams as "t:a", pairs of neighbours as "b:a\\0b", repeats included."""
-    marks = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"), F.lit(0))
+    marks = F.regexp_extract_all(text, F.lit(MARKS), F.lit(0))
     pairs = F.zip_with(F.slice(marks, 1, F.greatest(F.size(marks) - 1, F.lit(0))), F.slice(marks, 2, F.greatest(F.size(marks), F.lit(1))), lambda a, b: F.concat(F.lit("b:"), a, F.lit("\0"), b))
     return F.concat(F.transform(marks, lambda a: F.concat(F.lit("t:"), a)), pairs)
 

@@ -30,6 +30,15 @@ def postings(docs: DataFrame, item: str = "doc_id", text: str = "text") -> DataF
     return terms.groupBy("term", item, "dl", "dn").agg(F.count("*").alias("tf"))
 
 
+def hash_vectors(docs: DataFrame, dim: int = 384) -> DataFrame:
+    """(doc_id, slot, value): signed sums of hashed features at length one; texts whose features cancel or that have none give no row."""
+    features = docs.select("doc_id", F.explode(T.hashed_features(F.col("text"))).alias("f"))
+    slot, sign = T.slot_and_sign(F.col("f"), dim)
+    sums = features.select("doc_id", slot.alias("slot"), sign.alias("sign")).groupBy("doc_id", "slot").agg(F.sum("sign").alias("v")).where("v <> 0")
+    norms = sums.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v")).cast("double")).alias("norm"))
+    return sums.join(norms, "doc_id").select("doc_id", "slot", (F.col("v") / F.col("norm")).alias("value"))
+
+
 def bm25(queries: DataFrame, docs: DataFrame, *, k1: float = 1.5, b: float = 0.75, distinct: bool = True, k: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, shared, dn): pairs that share a term, and how many; others score 0.
 

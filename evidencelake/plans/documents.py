@@ -216,13 +216,18 @@ def q15_paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.scope_certificate(E.poisson_bootstrap(deltas, by="method", value="delta", key="query_id"))
 
 
-@query(r"""
-WITH m AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]') AS m FROM documents),
+HASHED = r"""m AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x{1c}-\x{1f}\x{85}]') AS m FROM documents),
 f AS (SELECT doc_id, unnest(list_concat(list_transform(m, lambda x: 't:' || x), list_transform(list_zip(m[:-2], m[2:]), lambda x: 'b:' || x[1] || chr(0) || x[2]))) AS f FROM m),
 h AS (SELECT doc_id, sha256(f) AS h FROM f),
-s AS (SELECT doc_id, ('0x' || substr(h, 1, 8))::UBIGINT % 384 AS slot, sum(CASE WHEN ('0x' || substr(h, 9, 2))::UBIGINT % 2 = 1 THEN 1 ELSE -1 END) AS v FROM h GROUP BY ALL)
-SELECT doc_id, count(*) FILTER (v <> 0) AS slots, sum(v * v)::BIGINT AS square, sum(abs(v))::BIGINT AS mass FROM s GROUP BY doc_id
-""")
+s AS (SELECT doc_id, ('0x' || substr(h, 1, 8))::UBIGINT % 384 AS slot, sum(CASE WHEN ('0x' || substr(h, 9, 2))::UBIGINT % 2 = 1 THEN 1 ELSE -1 END) AS v FROM h GROUP BY ALL)"""
+
+
+@query(f"WITH {HASHED}, n AS (SELECT doc_id, sqrt(sum(v * v)) AS n FROM s GROUP BY 1) SELECT doc_id, slot::BIGINT AS slot, round(v / n, 6) AS value FROM s JOIN n USING (doc_id) WHERE v <> 0")
+def q80_hash_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.hash_vectors(_docs(spark, sf_dir)).select("doc_id", "slot", F.round("value", 6).alias("value"))
+
+
+@query(f"WITH {HASHED} SELECT doc_id, count(*) FILTER (v <> 0) AS slots, sum(v * v)::BIGINT AS square, sum(abs(v))::BIGINT AS mass FROM s GROUP BY doc_id")
 def q17_hash_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = _docs(spark, sf_dir).select("doc_id", F.explode(T.hashed_features(F.col("text"))).alias("f"))
     slot, sign = T.slot_and_sign(F.col("f"), 384)

@@ -131,6 +131,16 @@ def read_snapshot(spark: SparkSession, path: str, family_identity: str) -> DataF
     return spark.read.parquet(f"{path}/items")
 
 
+def open_store(spark: SparkSession, path: str, family_identity: str) -> DataFrame:
+    """The items of a snapshot, as ITEMS; an error if the family is another or a column is missing or of another kind."""
+    items = read_snapshot(spark, path, family_identity)
+    wanted = spark.createDataFrame([], ITEMS).schema
+    kinds = {f.name: f.dataType.simpleString() for f in items.schema}
+    if any(kinds.get(f.name) != f.dataType.simpleString() for f in wanted):
+        raise ValueError("the snapshot does not have the columns of a store")
+    return items.select(*wanted.names)
+
+
 def write_checked(rows: DataFrame, path: str) -> str:
     """JSON rows and a manifest with their number and an order-free checksum of their content; the manifest's text."""
     rows.write.json(f"{path}/rows")

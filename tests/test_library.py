@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidencelake import plans
-from evidencelake.functions import structured
+from evidencelake.functions import callables, structured
 from evidencelake.operators import evaluation, facets, graphs, learning, lifecycle, routing, selection, stamps
 from evidencelake.sources import tables
 from evidencelake.streaming import receipts
@@ -179,6 +179,27 @@ def test_families_and_codes(spark):
         stamps.fit_product(good, {"a": "v"}, encoders={"a": "e"}, bits={"a": 64})
 
 
+def test_users_functions(spark):
+    rows = spark.createDataFrame([("a bb",), (None,), ("c",)], "t string")
+    made = rows.select(callables.encoded(F.col("t"), lambda texts: [[len(t), 1.0] for t in texts], 2).alias("v"), callables.counted(F.col("t"), lambda t: len(t.split())).alias("n")).collect()
+    assert [(r["v"], r["n"]) for r in made] == [([4.0, 1.0], 2), (None, None), ([1.0, 1.0], 1)]
+    for bad in (callables.encoded(F.col("t"), lambda texts: [[1.0]] * len(texts), 2), callables.counted(F.col("t"), lambda t: -1)):
+        with pytest.raises(Exception, match="must give"):
+            rows.select(bad).collect()
+    lists = spark.createDataFrame([(1, "q", "a", 0.9), (1, "q", "b", 0.85), (2, "q", "a", 0.9), (2, "q", "b", 0.5), (3, "q", "a", 0.2)], "query_id long, query string, text string, score double")
+    got = {(r["query_id"], r["text"]): (r["score"], r["reranked"]) for r in callables.rerank_ambiguous(lists, lambda q, t, s: 1.0 if t == "b" else 0.0).collect()}
+    assert got == {(1, "a"): (0.0, True), (1, "b"): (1.0, True), (2, "a"): (0.9, False), (2, "b"): (0.5, False), (3, "a"): (0.2, False)}
+
+
+def test_store_of_items(spark, tmp_path):
+    rows = [("a", "x", "d", "s", [("b", "v")], False)]
+    path = tables.write_snapshot(spark.createDataFrame(rows, tables.ITEMS), str(tmp_path), "family")
+    assert lifecycle.lookup(tables.open_store(spark, path, "family"), "a").first()["dependencies"][0]["name"] == "b"
+    other = tables.write_snapshot(spark.createDataFrame([("a",)], "source string"), str(tmp_path), "family")
+    with pytest.raises(ValueError):
+        tables.open_store(spark, other, "family")
+
+
 def test_components_equal_brute_force(spark):
     rng = random.Random(4)
     links = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 130)] + [(200, i) for i in range(201, 230)]
