@@ -268,7 +268,7 @@ def q30_coverage_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ENT = FA.ENTITY.replace("'", "''")
 #: Values in order, joined while the whole stays within the bound, and "open" until one didn't fit.
 _FOLD = "list_reduce(list_prepend({{'t': '', 'o': true}}, list_transform({values}, lambda x: {{'t': x, 'o': true}})), lambda a, x: {{'t': CASE WHEN a.o AND octet_length(encode(CASE WHEN a.t = '' THEN x.t ELSE a.t || ', ' || x.t END)) <= 512 THEN CASE WHEN a.t = '' THEN x.t ELSE a.t || ', ' || x.t END ELSE a.t END, 'o': a.o AND octet_length(encode(CASE WHEN a.t = '' THEN x.t ELSE a.t || ', ' || x.t END)) <= 512}}).t"
-_BY_NAME = "list_sort(list_distinct(regexp_extract_all(t, '{pattern}')))"
+_BY_NAME = "list_transform(list_sort(list_transform(list_distinct(regexp_extract_all(t, '{pattern}')), lambda x: {{'low': lower(x), 'x': x}})), lambda s: s.x)"
 
 
 @query("WITH p AS (SELECT doc_id, text AS t, lower(text) AS l FROM documents UNION ALL SELECT -1 - page_id, html, lower(html) FROM pages) SELECT doc_id, "
@@ -281,6 +281,19 @@ def q40_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).unionByName(pages).select("doc_id", *[c.alias(n) for n, c in made.items()])
 
 
+@query("WITH d AS (SELECT doc_id, lower(text) AS l, source, lang FROM documents WHERE regexp_matches(text, '\\S')), r AS (SELECT doc_id, source, lang, "
+    + "nullif(array_to_string(list_filter([" + ", ".join(f"CASE WHEN contains(l, '{w}') THEN '{w}' END" for w in FA.RELATIONS) + "], lambda x: x IS NOT NULL), ', '), '') AS relation FROM d) "
+    + """SELECT doc_id, CASE WHEN relation IS NULL THEN source ELSE relation || ', ' || source END AS relation, CASE WHEN relation IS NULL THEN 'asserted-v1' ELSE 'combined-v1' END AS rule, lang AS authority
+FROM r WHERE doc_id % 4 <> 0""")
+def q81_compiled_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facets of documents whose host asserts a workflow and an authority; those that it calls a hologram don't compile."""
+    rows = table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")
+    modality = F.when(F.col("doc_id") % 4 == 0, "hologram").otherwise("text")
+    said = F.create_map(F.lit("workflow"), "source", F.lit("authority"), "lang", F.lit("modality"), modality)
+    made = rows.select("doc_id", FA.compiled(F.col("text"), said).alias("f")).where("f is not null")
+    return made.select("doc_id", F.col("f.relation.value").alias("relation"), F.col("f.relation.rule").alias("rule"), F.col("f.authority.value").alias("authority"))
+
+
 @query(f"""WITH {BM25}, r AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm JOIN documents USING (doc_id) WHERE lang = 'en' AND score >= 1.0)
 SELECT query_id, doc_id, rank, round(score, 6) AS score FROM r WHERE rank <= 5""")
 def q41_constrained_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
