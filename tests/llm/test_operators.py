@@ -136,7 +136,7 @@ def groups_by_edits(norms):
 
 def as_lines(spark, norms):
     found = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(norms)], "i long, norm string")
-    return found.select("i", F.xxhash64("norm").alias("h"), F.xxhash64(F.lit(1), "norm").alias("g"), "norm")
+    return lines.sketched(found.select("i", F.xxhash64("norm").alias("h"), F.xxhash64(F.lit(1), "norm").alias("g"), "norm"))
 
 
 def same_groups(spark, norms):
