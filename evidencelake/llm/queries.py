@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embeddings, language, lines, mixing, quality, secrets, simhash, topk
+from . import bpe, centroids, chat, embeddings, language, lines, mixing, packing, quality, resample, secrets, simhash, topk
 from .common import cut, held_out, table
 
 
@@ -91,10 +91,23 @@ def op10_topk_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_products(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
 
+def op11_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
+
+
+def op12_cluster_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op13_target_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
         op1_mix_sources, op2_language_id, op3_secret_ownership, op4_line_dedup, op5_quality_rules,
         op6_chat_format, op7_simhash_dedup, op8_bpe_codes, op9_embedding_dedup, op10_topk_products,
+        op11_pack_sequences, op12_cluster_centroids, op13_target_resample,
     )
     return {f.__name__: f for f in made}
 
