@@ -8,6 +8,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .payloads import handoff_header
+
 #: Rounds of a closure after which what was found is written as one table again.
 ROUNDS = 8
 #: What stands for no dependencies.
@@ -170,7 +172,7 @@ def handoff(roots: DataFrame, edges: DataFrame, nodes: DataFrame, *, role: str,
     else:
         known = known.withColumn("old", F.lit(None).cast("boolean"))
     fine = F.coalesce(F.array_contains("roles", role) & F.col("current") & F.col("old").isNull(), F.lit(False))
-    header = F.octet_length(F.concat(F.lit('{"revision": "'), "revision", F.lit('", "sha256": "'), F.sha2("text", 256), F.lit('", "source": "'), F.col("node").cast("string"), F.lit('"}\n')))
+    header = F.octet_length(handoff_header(F.col("node").cast("string"), F.col("revision"), F.sha2("text", 256)))
     units = F.sum(header + F.octet_length("text") + 2) - 2
     packed = known.groupBy("root").agg(F.bool_and(fine).alias("fine"), units.alias("size"), F.count("*").alias("n"))
     clash = F.lit(None).cast("boolean")

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import evaluation as E
 from ..operators import facets as FA
 from ..operators import learning as L
+from ..operators import payloads as P
 from ..operators import retrieval as R
 from ..operators import selection as S
 from ..operators.lifecycle import shared
@@ -250,7 +251,7 @@ def q28_pack_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     best = _best(spark, sf_dir, 10).select("query_id", "rank", "doc_id")
     digest = T.digest(F.col("text"))
-    chunk = F.concat(F.lit('{"source": "'), F.col("doc_id").cast("string"), F.lit('", "sha256": "'), digest, F.lit('"}\n'), F.col("text"))
+    chunk = P.evidence_chunk(F.col("doc_id").cast("string"), digest, F.col("text"))
     sized = docs.select("doc_id", digest.alias("digest"), F.octet_length(chunk).alias("bytes"))
     ready = shared(best).join(sized, "doc_id").select("query_id", "rank", F.col("doc_id").alias("source"), "digest", F.lit("").alias("dependencies"), F.lit("unchecked").alias("freshness"), "bytes")
     return S.pack_budget(ready, 4096).withColumn("rank", F.col("rank").cast("long"))

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import evaluation as E
 from ..operators import graphs as G
 from ..operators import lifecycle as V
+from ..operators import payloads as P
 from ..operators import retrieval as R
 from ..operators import routing as RO
 from ..operators import selection as S
@@ -91,7 +92,7 @@ def q49_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _candidates(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """The k best documents of each item as chunks with their freshness."""
     docs, digest = _docs(spark, sf_dir), T.digest(F.col("text"))
-    chunk = F.concat(F.lit('{"source": "'), F.col("doc_id").cast("string"), F.lit('", "sha256": "'), digest, F.lit('"}\n'), F.col("text"))
+    chunk = P.evidence_chunk(F.col("doc_id").cast("string"), digest, F.col("text"))
     sized = docs.select("doc_id", digest.alias("digest"), F.octet_length(chunk).alias("bytes"), T.words(F.col("text")).alias("words"))
     best = stored(_best(spark, sf_dir, k).select("query_id", "rank", "doc_id", "score"))
     met = best.join(sized, "doc_id").join(_states(spark, sf_dir), "doc_id")
