@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Rows of a block, about.
 BLOCK = 2048
@@ -44,11 +46,12 @@ def cell(value: pa.Scalar) -> object:
 
 def blockwise(pairs: DataFrame, kernel: Callable[[dict], dict], schema: str) -> DataFrame:
     """What ``kernel`` makes of each row of block_pairs(), as columns."""
+    shape = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
-                yield pa.RecordBatch.from_pydict(kernel({name: cell(batch.column(name)[at]) for name in batch.schema.names}))
+                yield pa.RecordBatch.from_pydict(kernel({name: cell(batch.column(name)[at]) for name in batch.schema.names}), shape)
 
     return pairs.mapInArrow(run, schema)
 

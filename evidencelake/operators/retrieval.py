@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,8 +10,6 @@ from ..sources.tables import stored
 from . import blocks as B
 
 DIGITS = 9  # scores that agree to so many places tie, and the id decides
-#: Queries of a block.
-QUERIES = 1024
 
 
 def ranked(scores: DataFrame, k: int, *, score: str = "score", query: str = "query_id", item: str = "doc_id") -> DataFrame:
@@ -21,15 +18,6 @@ def ranked(scores: DataFrame, k: int, *, score: str = "score", query: str = "que
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def postings(docs: DataFrame, item: str = "doc_id", text: str = "text") -> DataFrame:
-    """(term, item, tf, dl, dn): one row for each term of each document, with the document's tokens and distinct tokens."""
-    listed = docs.select(item, T.tokens(F.col(text)).alias("t"))
-    # sizes first: what is made beside a generator is made for each of its rows
-    sized = listed.select(item, "t", F.size("t").alias("dl"), F.size(F.array_distinct("t")).alias("dn"))
-    terms = sized.select(item, "dl", "dn", F.explode("t").alias("term"))
-    return terms.groupBy("term", item, "dl", "dn").agg(F.count("*").alias("tf"))
-
-
 def hash_vectors(docs: DataFrame, dim: int = 384) -> DataFrame:
     """(doc_id, slot, value): signed sums of hashed features at length one; texts whose features cancel or that have none give no row."""
     features = docs.select("doc_id", F.explode(T.hashed_features(F.col("text"))).alias("f"))
@@ -39,59 +27,6 @@ def hash_vectors(docs: DataFrame, dim: int = 384) -> DataFrame:
     return sums.join(norms, "doc_id").select("doc_id", "slot", (F.col("v") / F.col("norm")).alias("value"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, *, k1: float = 1.5, b: float = 0.75, distinct: bool = True, k: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
-    """(query_id, doc_id, score, shared, dn): pairs that share a term, and how many; others score 0.
-
-    queries(query_id, text), docs(doc_id, text).  Document frequencies and lengths come from all documents; only
-    postings of terms that some query has are looked at, and of documents in ``allowed``(doc_id) if that is given.
-    ``distinct`` counts a query's repeated terms once.  With ``k``, the k best of each block at least.
-
-    Texts are tokenised once, into a written table of postings.  Its weights meet the queries in blocks of documents and
-    are summed in a matrix there, so a frequent term costs no row for each pair that has it.
-    """
-    index = stored(postings(docs))
-    size = index.agg(F.sum("tf").alias("tokens")).crossJoin(docs.agg(F.count("*").alias("n")))  # one row
-    wanted = queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    if distinct:
-        wanted = wanted.withColumn("times", F.lit(1).cast("long"))
-    hits = index.join(wanted.select("term").distinct(), "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") * F.col("n") / F.col("tokens")))
-    if allowed is not None:
-        hits = hits.join(allowed.select("doc_id"), "doc_id", "left_semi")
-    weighed = hits.join(df, "term").crossJoin(F.broadcast(size))
-    # 64 bits of hash stand for a term
-    term = F.xxhash64("term").alias("t")
-    count = docs.agg(F.greatest(F.ceil(F.count("*") / F.lit(B.BLOCK)), F.lit(1)).cast("int").alias("blocks"))
-    dealt = weighed.crossJoin(F.broadcast(count)).select(F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("ib"), F.col("doc_id").alias("d"), term, weight.alias("w"), "dn")
-    x = dealt.groupBy("ib").agg(F.collect_list(F.struct("d", "t", "w", "dn")).alias("m")).select("ib", "m.d", "m.t", "m.w", "m.dn")
-    asking = queries.agg(F.greatest(F.ceil(F.count("*") / F.lit(QUERIES)), F.lit(1)).cast("int").alias("qblocks"))
-    pairs = wanted.crossJoin(F.broadcast(asking)).select(F.pmod(F.xxhash64("query_id"), F.col("qblocks")).alias("qb"), F.col("query_id").alias("q"), term, "times")
-    packs = pairs.groupBy("qb").agg(F.collect_list(F.struct("q", "t", "times")).alias("m")).select("qb", F.col("m.q").alias("q"), F.col("m.t").alias("qt"), F.col("m.times").alias("times"))
-    spread = packs.crossJoin(F.broadcast(count)).withColumn("ib", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-
-    def scores(row: dict) -> dict:
-        ids, first, d = np.unique(row["d"], return_index=True, return_inverse=True)
-        asked, q = np.unique(row["q"], return_inverse=True)
-        total, shared = np.zeros((len(asked), len(ids))), np.zeros((len(asked), len(ids)), np.int64)
-        by_term, by_asked = np.argsort(row["t"], kind="stable"), np.argsort(row["qt"], kind="stable")
-        t, d, w = row["t"][by_term], d[by_term], row["w"][by_term]
-        terms, at = np.unique(row["qt"][by_asked], return_index=True)
-        at = [*at.tolist(), len(by_asked)]
-        for n, (lo, hi) in enumerate(zip(np.searchsorted(t, terms), np.searchsorted(t, terms, side="right"))):
-            if lo < hi:
-                some = by_asked[at[n] : at[n + 1]]
-                cells = np.ix_(q[some], d[lo:hi])
-                total[cells] += row["times"][some][:, None] * w[lo:hi]
-                shared[cells] += 1
-        i, j = np.nonzero(shared) if k is None else B.best_of(np.where(shared > 0, total, -np.inf), ids, k, DIGITS)
-        return {"query_id": asked[i], "doc_id": ids[j], "score": total[i, j], "shared": shared[i, j], "dn": row["dn"][first][j].astype(np.int64)}
-
-    met = spread.join(x.hint("shuffle_merge"), "ib").repartition("qb", "ib")
-    return B.blockwise(met, scores, "query_id long, doc_id long, score double, shared long, dn long")
-
-
 def dense_topk(queries: DataFrame, items: DataFrame, k: int, *, block: int = B.BLOCK) -> DataFrame:
     """(query_id, vec_id, score, rank): exact inner products in doubles, a query's own id left out.
 
@@ -132,11 +67,10 @@ def rank_of(score: str) -> Column:
     return F.row_number().over(Window.partitionBy("query_id").orderBy(F.round(score, DIGITS).desc(), "doc_id")) - 1
 
 
-def candidate_union(fused: DataFrame, semantic: str, lexical: str, limits: tuple[int, int, int] = (96, 96, 64)) -> DataFrame:
-    """Rows among the best of any scorer, with six features: semantic, z_semantic, fused, z_lexical and reciprocal ranks."""
-    ranks = fused.withColumn("r_sem", rank_of(semantic)).withColumn("r_lex", rank_of(lexical)).withColumn("r_fused", rank_of("fused"))
-    kept = ranks.where((F.col("r_sem") < limits[0]) | (F.col("r_lex") < limits[1]) | (F.col("r_fused") < limits[2]))
-    return kept.select("query_id", "doc_id", F.col(semantic).alias("f1"), F.col("z_semantic").alias("f2"), F.col("fused").alias("f3"), F.col("z_lexical").alias("f4"), (1.0 / (1 + F.col("r_sem"))).alias("f5"), (1.0 / (1 + F.col("r_lex"))).alias("f6"), "r_sem", "r_lex", "r_fused")
+def candidate_features(candidates: DataFrame) -> DataFrame:
+    """Six features of lexical.candidates(): both scores as they are and as z-scores, the fused one, and reciprocal ranks."""
+    ranks = [F.col(f"r_{n}").alias(f"r_{k}") for n, k in (("jaccard", "sem"), ("bm25", "lex"), ("fused", "fused"))]
+    return candidates.select("query_id", "doc_id", "bm25", F.col("jaccard").alias("f1"), F.col("z_semantic").alias("f2"), F.col("fused").alias("f3"), F.col("z_lexical").alias("f4"), (1.0 / (1 + F.col("r_jaccard"))).alias("f5"), (1.0 / (1 + F.col("r_bm25"))).alias("f6"), *ranks)
 
 
 def containment(items: DataFrame, docs: DataFrame, *, width: int = 4, short_items: int = 1000) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import evaluation as E
 from ..operators import facets as FA
 from ..operators import learning as L
+from ..operators import lexical as X
 from ..operators import payloads as P
 from ..operators import retrieval as R
 from ..operators import selection as S
@@ -21,7 +22,8 @@ TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 
 def _best(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """The k best documents of each item by BM25."""
-    return R.ranked(R.bm25(_queries(spark, sf_dir), _docs(spark, sf_dir), k=k), k)
+    queries = _queries(spark, sf_dir)
+    return R.ranked(X.best(queries, X.text_index(_docs(spark, sf_dir), queries), k), k)
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,13 +82,26 @@ def q05_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
-def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, doc_id, bm25, jaccard) of all pairs that share a term, written once."""
+@query(f"""
+WITH docs AS (SELECT lang || '/' || doc_id AS doc_id, text FROM documents), asks AS (SELECT 'item ' || item_id AS item_id, text FROM benchmark UNION ALL VALUES ('nothing', 'zzqx-unheard'), ('little', 'zzqx scheme'), ('empty', '')),
+{BM25.replace("FROM documents", "FROM docs").replace("FROM benchmark", "FROM asks")},
+whole AS (SELECT item_id AS query_id, docs.doc_id, coalesce(score, 0) AS score FROM asks CROSS JOIN docs LEFT JOIN bm ON bm.query_id = item_id AND bm.doc_id = docs.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM whole)
+SELECT query_id, doc_id, rank, round(score, 6) AS score FROM r WHERE rank <= 10
+""")
+def q85_complete_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten documents for every query, known by texts of their own: those without a shared term score 0 and come by id."""
+    asks = _queries(spark, sf_dir).withColumn("query_id", F.concat(F.lit("item "), "query_id"))
+    more = spark.createDataFrame([("nothing", "zzqx-unheard"), ("little", "zzqx scheme"), ("empty", "")], "query_id string, text string")
+    asks = asks.unionByName(more)
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang").select(F.concat_ws("/", "lang", "doc_id").alias("doc_id"), "text")
+    best = X.complete(X.best(asks, X.text_index(docs, asks), 10), asks, docs, 10)
+    return best.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+def _fusion(spark: SparkSession, sf_dir: str) -> X.Fusion:
     queries = _queries(spark, sf_dir)
-    sizes = queries.select("query_id", F.size(T.words(F.col("text"))).alias("qn"))
-    scored = R.bm25(queries, _docs(spark, sf_dir)).join(F.broadcast(sizes) if queries.count() <= 100_000 else sizes, "query_id")
-    jaccard = F.col("shared") / (F.col("qn") + F.col("dn") - F.col("shared"))
-    return stored(scored.select("query_id", "doc_id", F.col("score").alias("bm25"), jaccard.alias("jaccard")))
+    return X.fusion(queries, X.text_index(_docs(spark, sf_dir), queries))
 
 
 BOTH = f"""{BM25},
@@ -122,13 +137,12 @@ def q03_lexical_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BOTH} SELECT query_id, doc_id, (rf + 1)::BIGINT AS rank, round(fused, 6) AS fused FROM rk WHERE rf < 10")
 def q08_hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fused = R.fuse(_both(spark, sf_dir), "jaccard", "bm25")
-    best = R.ranked(fused, 10, score="fused")
+    best = R.ranked(X.lists(_fusion(spark, sf_dir), {"fused": 10}), 10, score="fused")
     return best.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("fused", 6).alias("fused"))
 
 
 def _union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.candidate_union(R.fuse(_both(spark, sf_dir), "jaccard", "bm25"), "jaccard", "bm25")
+    return R.candidate_features(X.candidates(_fusion(spark, sf_dir), {"jaccard": 96, "bm25": 96, "fused": 64}))
 
 
 UNION = f"{BOTH}, un AS (SELECT * FROM rk WHERE rs < 96 OR rl < 96 OR rf < 64)"
@@ -154,8 +168,7 @@ def q10_route_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         top = F.max(value)
         at = lambda place, value=value, rank=rank, top=top: F.coalesce(F.max(F.when(F.col(rank) == place, F.col(value))), top)
         made += [F.round(top, 6).alias(f"{name}_top"), F.round(top - at(1), 6).alias(f"{name}_lead"), F.round(top - at(9), 6).alias(f"{name}_tenth"), F.round(F.stddev_pop(value), 6).alias(f"{name}_spread")]
-    both = _both(spark, sf_dir)
-    union = R.candidate_union(R.fuse(both, "jaccard", "bm25"), "jaccard", "bm25").join(both.select("query_id", "doc_id", "bm25"), ["query_id", "doc_id"])
+    union = _union(spark, sf_dir)
     shared_top = F.count_if((F.col("r_sem") < 10) & (F.col("r_lex") < 10)) / 10
     return union.groupBy("query_id").agg(F.round(F.count("*") / 256, 6).alias("size_share"), F.round(shared_top, 6).alias("agreement"), *made)
 
@@ -171,7 +184,7 @@ mt AS (SELECT method, query_id, coalesce(dcg / ideal, 0) AS ndcg, coalesce(n / n
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fused = shared(R.fuse(_both(spark, sf_dir), "jaccard", "bm25"))
+    fused = shared(X.lists(_fusion(spark, sf_dir), {"jaccard": 10, "bm25": 10, "fused": 10}))
     runs = None
     for method, score in (("semantic", "jaccard"), ("lexical", "bm25"), ("fused", "fused")):
         run = R.ranked(fused, 10, score=score).select(F.lit(method).alias("method"), "query_id", "doc_id", "rank")
@@ -204,7 +217,9 @@ def q13_method_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM qr LEFT JOIN two USING (query_id, doc_id) GROUP BY query_id""")
 def q14_low_overlap_stratum(spark: SparkSession, sf_dir: str) -> DataFrame:
     qrels = R.containment(_queries(spark, sf_dir), _docs(spark, sf_dir))
-    near = qrels.join(_both(spark, sf_dir), ["query_id", "doc_id"], "left").withColumn("j", F.coalesce("jaccard", F.lit(0.0)))
+    words = lambda frame, key, name: frame.select(key, T.words(F.col("text")).alias(name))
+    met = qrels.join(words(_queries(spark, sf_dir), "query_id", "qw"), "query_id").join(words(_docs(spark, sf_dir), "doc_id", "dw"), "doc_id")
+    near = met.withColumn("j", T.jaccard(F.col("qw"), F.col("dw")))
     most = F.max("j")
     return near.groupBy("query_id").agg(F.count("*").alias("positives"), F.round(most, 6).alias("most_overlap"), (most <= 0.1).alias("low_overlap"))
 
@@ -300,7 +315,8 @@ SELECT query_id, doc_id, rank, round(score, 6) AS score FROM r WHERE rank <= 5""
 def q41_constrained_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     allowed = docs.where("lang = 'en'").select("doc_id")
-    scored = R.bm25(_queries(spark, sf_dir), docs, allowed=allowed, k=5)
+    queries = _queries(spark, sf_dir)
+    scored = X.best(queries, X.text_index(docs, queries), 5, allowed=allowed)
     return R.ranked(scored.where("score >= 1.0"), 5).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
