@@ -58,13 +58,6 @@ def test_cheapest_cover_equals_exhaustion():
         assert (found and found[0]) == best
 
 
-def test_greedy_orders():
-    vectors = np.array([[1.0, 0], [1, 0], [0, 1]])
-    assert selection.mmr_order(np.array([1.0, 0.99, 0.5]), vectors, 3) == [0, 1, 2]
-    assert selection.mmr_order(np.array([1.0, 0.99, 0.9]), vectors, 2, 0.5) == [0, 2]
-    assert selection.coverage_order({"a", "b"}, [{"a"}, {"a"}, {"b"}], [0.5, 0.5, 0.4], 2) == [0, 2]
-
-
 def test_routes(spark):
     cases = spark.createDataFrame([(1, True, 20, 0.9, 0.2), (2, False, 20, 0.9, 0.2), (None, True, 0, 0.9, 0.2), (None, True, 20, 0.9, 0.2), (None, True, 20, 0.1, 0.2)], "exact_key int, exact_ok boolean, n_eligible int, score double, margin double")
     policy = routing.RoutingPolicy("s", 10, 0.5, 0.1, True, 0.03, 100)
@@ -80,13 +73,6 @@ def test_facets(spark):
     assert row["task"] == "fix" and row["relation"] == "uses" and row["temporal"] == "v1.2.3" and "parser.load" in row["entity"]
 
 
-def test_learning():
-    rng = np.random.default_rng(1)
-    assert (learning.pairwise_weights(np.abs(rng.normal(size=(50, 3)))) >= 0).all()
-    q = learning.itq_rotation(rng.normal(size=(40, 8)), 10)
-    assert np.allclose(q @ q.T, np.eye(8), atol=1e-9)
-
-
 def test_lru_and_stream(spark, tmp_path):
     start = datetime(2024, 1, 1)
     rows = [(1, i, start + timedelta(minutes=10 * i), item) for i, item in enumerate("aabcaab")]
