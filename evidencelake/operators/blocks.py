@@ -15,6 +15,18 @@ from pyspark.sql.types import StructType
 BLOCK = 2048
 
 
+class Every:
+    """Said in place of a list of eligible rows: every row is, and the caller answers for that."""
+
+
+EVERY = Every()
+
+
+def kind(frame: DataFrame, column: str) -> str:
+    """A column's type as schemas are written: ids may be numbers or texts."""
+    return frame.schema[column].dataType.simpleString()
+
+
 def packed(frame: DataFrame, key: str, columns: list[str], name: str, size: int) -> tuple[DataFrame, DataFrame]:
     """(name, ids, columns as lists) of blocks of about ``size`` rows dealt by hash, and their number as one row."""
     count = frame.agg(F.greatest(F.ceil(F.count("*") / F.lit(size)), F.lit(1)).cast("int").alias("blocks"))
@@ -23,15 +35,42 @@ def packed(frame: DataFrame, key: str, columns: list[str], name: str, size: int)
     return packs.select(name, F.col(f"m.{key}").alias(f"{name}_ids"), *[F.col(f"m.{c}").alias(f"{name}_{c}") for c in columns]), count
 
 
-def block_pairs(queries: DataFrame, items: DataFrame, asked: list[str], given: list[str], *, size: int = BLOCK) -> DataFrame:
+def block_pairs(queries: DataFrame, items: DataFrame, asked: list[str], given: list[str], *, size: int = BLOCK, eligible: DataFrame | Every = EVERY) -> DataFrame:
     """A row for each block of queries(query_id, asked) and each block of items(vec_id, given), with their columns as lists.
 
-    Blocks of queries are written once for each block of items and joined on its number; nothing is broadcast but one row.
+    ``eligible`` has the rows that may be given: (vec_id) for all queries, or (query_id, vec_id).  The latter come as
+    ``may_q`` and ``may_i``, places in the two blocks; blocks of queries and items without any don't meet.  None is an
+    error.  Blocks of queries are written once for each block of items and joined on its number; nothing is broadcast
+    but one row.
     """
+    if eligible is None:
+        raise ValueError("eligible rows must be given, or EVERY")
+    if eligible is not EVERY and "query_id" not in eligible.columns:
+        items, eligible = items.join(eligible.select("vec_id").distinct(), "vec_id", "left_semi"), EVERY
     q, _ = packed(queries, "query_id", asked, "qb", size)
     x, count = packed(items, "vec_id", given, "ib", size)
-    spread = q.crossJoin(F.broadcast(count)).withColumn("ib", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return spread.join(x.hint("shuffle_merge"), "ib").repartition("qb", "ib")
+    if eligible is EVERY:
+        spread = q.crossJoin(F.broadcast(count)).withColumn("ib", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return spread.join(x.hint("shuffle_merge"), "ib").repartition("qb", "ib")
+    from ..sources.tables import stored
+
+    q, x = stored(q), stored(x)  # places are told of them as they are written
+    asks = q.select("qb", F.posexplode("qb_ids").alias("qp", "query_id"))
+    gives = x.select("ib", F.posexplode("ib_ids").alias("ip", "vec_id"))
+    met = eligible.select("query_id", "vec_id").distinct().join(asks, "query_id").join(gives, "vec_id")
+    may = met.groupBy("qb", "ib").agg(F.collect_list(F.struct("qp", "ip")).alias("m")).select("qb", "ib", F.col("m.qp").alias("may_q"), F.col("m.ip").alias("may_i"))
+    return may.join(q.hint("shuffle_merge"), "qb").join(x.hint("shuffle_merge"), "ib").repartition("qb", "ib")
+
+
+def barred(row: dict, score: np.ndarray) -> np.ndarray:
+    """Scores with -inf where an item may not be given: a query's own id, and what isn't eligible for it."""
+    asked, ids = (np.array(row[c], object) if isinstance(row[c], list) else row[c] for c in ("qb_ids", "ib_ids"))
+    open_ = asked[:, None] != ids[None, :]
+    if "may_q" in row:
+        may = np.zeros(score.shape, bool)
+        may[row["may_q"], row["may_i"]] = True
+        open_ = open_ & may
+    return np.where(open_, score, -np.inf)
 
 
 def cell(value: pa.Scalar) -> object:
@@ -66,18 +105,19 @@ def best_of(score: np.ndarray, ids: np.ndarray, k: int, digits: int) -> tuple[np
     return rows[ok], cols[ok]
 
 
-def ranked_block(score: np.ndarray, asked: np.ndarray, ids: np.ndarray, k: int, digits: int) -> dict:
-    """The k best of each query in a block, its own id left out."""
-    score = np.where(asked[:, None] == ids[None, :], -np.inf, score)
+def ranked_block(row: dict, score: np.ndarray, k: int, digits: int) -> dict:
+    """The k best of each query in a block, among what it may be given."""
+    ids = np.array(row["ib_ids"], object) if isinstance(row["ib_ids"], list) else row["ib_ids"]
+    score = barred(row, score)
     i, j = best_of(score, ids, k, digits)
-    return {"query_id": asked[i], "vec_id": ids[j], "score": score[i, j]}
+    return {"query_id": [row["qb_ids"][n] for n in i.tolist()], "vec_id": [row["ib_ids"][n] for n in j.tolist()], "score": score[i, j]}
 
 
-def hamming_topk(queries: DataFrame, items: DataFrame, k: int, *, views: list[tuple[int, float]], digits: int = 9, size: int = BLOCK) -> DataFrame:
+def hamming_topk(queries: DataFrame, items: DataFrame, k: int, *, views: list[tuple[int, float]], eligible: DataFrame | Every = EVERY, digits: int = 9, size: int = BLOCK) -> DataFrame:
     """(query_id, vec_id, score) with the k best of each block at least: packed codes by weighted agreement of their views.
 
     queries(query_id, code), items(vec_id, code), binary; ``views`` has the bytes and the weight of each view in the
-    code's order.  Codes that are null or of another width take no part.
+    code's order; ``eligible`` as in block_pairs().  Codes that are null or of another width take no part.
     """
     width, total = sum(n for n, _ in views), sum(w for _, w in views)
     fits = F.octet_length("code") == width
@@ -89,30 +129,30 @@ def hamming_topk(queries: DataFrame, items: DataFrame, k: int, *, views: list[tu
             apart = sum(np.bitwise_count(a[:, None, i] ^ b[None, :, i]).astype(np.int32) for i in range(at, at + n))
             score += (1 - apart / (8.0 * n)) * (weight / total)
             at += n
-        return ranked_block(score, row["qb_ids"], row["ib_ids"], k, digits)
+        return ranked_block(row, score, k, digits)
 
-    pairs = block_pairs(queries.where(fits), items.where(fits), ["code"], ["code"], size=size)
-    return blockwise(pairs, kernel, "query_id long, vec_id long, score double")
+    pairs = block_pairs(queries.where(fits), items.where(fits), ["code"], ["code"], size=size, eligible=eligible)
+    return blockwise(pairs, kernel, f"query_id {kind(queries, 'query_id')}, vec_id {kind(items, 'vec_id')}, score double")
 
 
-def residual_topk(queries: DataFrame, items: DataFrame, k: int, *, size: int = BLOCK) -> DataFrame:
+def residual_topk(queries: DataFrame, items: DataFrame, k: int, *, eligible: DataFrame | Every = EVERY, size: int = BLOCK) -> DataFrame:
     """(query_id, vec_id, mid, slack): rows whose upper bound reaches their block's k-th lower bound.
 
     queries(query_id, v, length), items(vec_id, z array<tinyint>, scale, gap): the product of v with scale * z is off by
-    gap * length at most.  What is dropped can't be among the k best of its block, so not of all.
+    gap * length at most; ``eligible`` as in block_pairs().  What is dropped can't be among the k best of its block, so
+    not of all.
     """
 
     def kernel(row: dict) -> dict:
-        asked, ids = row["qb_ids"], row["ib_ids"]
         mid = row["qb_v"] @ row["ib_z"].astype(np.float64).T * row["ib_scale"]
         slack = row["qb_length"][:, None] * row["ib_gap"] + 1e-10
-        low = np.where(asked[:, None] == ids[None, :], -np.inf, mid - slack)
+        low = barred(row, mid - slack)
         floor = np.sort(low, axis=1)[:, -min(k, low.shape[1])]
-        i, j = np.nonzero((mid + slack >= floor[:, None] - 1e-9) & (asked[:, None] != ids[None, :]))
-        return {"query_id": asked[i], "vec_id": ids[j], "mid": mid[i, j], "slack": slack[i, j]}
+        i, j = np.nonzero((mid + slack >= floor[:, None] - 1e-9) & (low > -np.inf))
+        return {"query_id": [row["qb_ids"][n] for n in i.tolist()], "vec_id": [row["ib_ids"][n] for n in j.tolist()], "mid": mid[i, j], "slack": slack[i, j]}
 
-    pairs = block_pairs(queries, items, ["v", "length"], ["z", "scale", "gap"], size=size)
-    return blockwise(pairs, kernel, "query_id long, vec_id long, mid double, slack double")
+    pairs = block_pairs(queries, items, ["v", "length"], ["z", "scale", "gap"], size=size, eligible=eligible)
+    return blockwise(pairs, kernel, f"query_id {kind(queries, 'query_id')}, vec_id {kind(items, 'vec_id')}, mid double, slack double")
 
 
 def dot(a: str | Column, b: str | Column) -> Column:

@@ -125,19 +125,46 @@ def visible(nodes: DataFrame, role: str | Column, revisions: DataFrame) -> DataF
 def _spread(start: DataFrame, arcs: DataFrame) -> DataFrame:
     """All rows of ``start`` (node and more columns) and what arcs(node, to) lead to from them, the other columns kept.
 
-    Breadth first: a round joins the newest rows with the arcs and drops known ones, so cycles end.  Rounds are as many
-    as the longest shortest path; each is checkpointed, and every ROUNDS what was found is written as one table.
+    Nodes that lead nowhere are set aside and come by one join at the end.  Of the others, those with a single way on
+    form paths, which are walked by doubling: jump i goes 2^i steps, and a set that has all within 2^i steps of it has
+    all within twice as many after it.  So a path of any length takes as many rounds as its length has binary digits,
+    and only where paths part or meet a breadth-first round is needed.  Known rows are dropped, so cycles end.
     """
     names = start.columns
-    seen = frontier = shared(start.distinct())
-    arcs, rounds = shared(arcs.distinct()), 0
+    follow = lambda rows, ways: rows.join(ways, "node").drop("node").withColumnRenamed("to", "node").select(*names)
+    arcs = shared(arcs.where("node <> to").distinct())
+    leading = arcs.select(F.col("node").alias("to")).distinct()
+    inner, last = shared(arcs.join(leading, "to", "left_semi").select("node", "to")), arcs.join(leading, "to", "left_anti").select("node", "to")
+    counted = inner.join(inner.groupBy("node").agg(F.count("*").alias("n")), "node")
+    jump, parting = shared(counted.where("n = 1").select("node", "to")), shared(counted.where("n > 1").select("node", "to"))
+    paths = jump.count()
+    jumps = [jump] if paths else []
+
+    def walked(rows: DataFrame) -> DataFrame:
+        """The rows and all that single ways lead to from them; jumps are made when they are first needed."""
+        n, level = rows.count(), 0
+        while level < len(jumps):
+            rows = shared(rows.union(follow(rows, jumps[level])).distinct())
+            before, n = n, rows.count()
+            if n == before:
+                break  # no step leads out of the set, so no jump does
+            level += 1
+            if level == len(jumps) and 1 << level <= paths:
+                half = jumps[-1]
+                twice = shared(half.join(half.select(F.col("node").alias("to"), F.col("to").alias("far")), "to").select("node", F.col("far").alias("to")))
+                if not twice.isEmpty():
+                    jumps.append(twice)
+        return rows
+
+    seen = frontier = walked(shared(start.distinct()))
+    rounds = 0
     while not frontier.isEmpty():
-        reached = frontier.join(arcs, "node").drop("node").withColumnRenamed("to", "node").select(*names).distinct()
-        frontier = shared(reached.join(seen, names, "left_anti"))
+        found = shared(follow(frontier, parting).distinct().join(seen, names, "left_anti"))
+        frontier = shared(walked(found).join(seen, names, "left_anti"))
         seen, rounds = seen.unionByName(frontier), rounds + 1
         if rounds % ROUNDS == 0:
             seen = shared(seen)
-    return seen
+    return seen.union(follow(seen, last)).distinct()
 
 
 def closure(roots: DataFrame, edges: DataFrame, *, root: str = "root", node: str = "node") -> DataFrame:

@@ -27,17 +27,21 @@ def hash_vectors(docs: DataFrame, dim: int = 384) -> DataFrame:
     return sums.join(norms, "doc_id").select("doc_id", "slot", (F.col("v") / F.col("norm")).alias("value"))
 
 
-def dense_topk(queries: DataFrame, items: DataFrame, k: int, *, block: int = B.BLOCK) -> DataFrame:
+def dense_topk(queries: DataFrame, items: DataFrame, k: int, *, eligible: DataFrame | B.Every = B.EVERY, block: int = B.BLOCK) -> DataFrame:
     """(query_id, vec_id, score, rank): exact inner products in doubles, a query's own id left out.
 
-    queries(query_id, v), items(vec_id, v), v array<double>.  Blocks of queries meet blocks of items in one matrix
-    product, of which k rows a query leave the task.
+    queries(query_id, v), items(vec_id, v), v array<double>; ids of any type; ``eligible`` as in blocks.block_pairs().
+    Vectors that are null, hold null or non-finite components or have another length than the queries' longest take no
+    part.  Blocks of queries meet blocks of items in one matrix product, of which k rows a query leave the task.
     """
+    dim = queries.agg(F.max(F.size("v"))).first()[0] or 0
+    whole = F.coalesce((F.size("v") == dim) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
 
     def kernel(row: dict) -> dict:
-        return B.ranked_block(row["qb_v"] @ row["ib_v"].T, row["qb_ids"], row["ib_ids"], k, DIGITS)
+        return B.ranked_block(row, row["qb_v"] @ row["ib_v"].T, k, DIGITS)
 
-    met = B.blockwise(B.block_pairs(queries, items, ["v"], ["v"], size=block), kernel, "query_id long, vec_id long, score double")
+    pairs = B.block_pairs(queries.where(whole), items.where(whole), ["v"], ["v"], size=block, eligible=eligible)
+    met = B.blockwise(pairs, kernel, f"query_id {B.kind(queries, 'query_id')}, vec_id {B.kind(items, 'vec_id')}, score double")
     return ranked(met, k, item="vec_id")
 
 

@@ -171,15 +171,14 @@ def q29_mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.mmr(shared(_dense(spark, sf_dir, 50)).join(rows, "vec_id"))
 
 
-def _residual(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+def _residual(rows: DataFrame, asked: DataFrame, k: int, eligible: DataFrame | B.Every = B.EVERY) -> DataFrame:
     """int8 codes and residual lengths bound each product; only rows whose upper bound reaches the k-th lower bound are scored exactly."""
-    rows = _vectors(spark, sf_dir).select("vec_id", "v")
     top = F.array_max(F.transform("v", lambda x: F.abs(x)))
     coded = rows.select("vec_id", "v", F.greatest(top / 127.0, F.lit(1e-300)).alias("scale")).withColumn("z", F.transform("v", lambda x: F.round(x / F.col("scale")).cast("tinyint")))
     gap = F.sqrt(F.aggregate(F.zip_with("v", "z", lambda x, z: x - z * F.col("scale")), F.lit(0.0), lambda a, d: a + d * d))
     index = stored(coded.select("vec_id", "z", "scale", gap.alias("gap")))
-    asked = _asked(rows, "v").withColumn("length", F.sqrt(B.dot("v", "v")))
-    bounds = shared(B.residual_topk(asked, index, k))
+    asked = asked.withColumn("length", F.sqrt(B.dot("v", "v")))
+    bounds = shared(B.residual_topk(asked, index, k, eligible=eligible))
     low = R.ranked(bounds.select("query_id", "vec_id", (F.col("mid") - F.col("slack")).alias("score")), k, item="vec_id").groupBy("query_id").agg(F.min("score").alias("floor"))
     live = bounds.join(low, "query_id").where(F.col("mid") + F.col("slack") >= F.col("floor") - 1e-9).select("query_id", "vec_id")
     exact = live.join(rows, "vec_id").join(asked.select("query_id", F.col("v").alias("q")), "query_id").select("query_id", "vec_id", B.dot("q", "v").alias("score"))
@@ -188,7 +187,8 @@ def _residual(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
 
 @query(f"WITH {DENSE} SELECT query_id, vec_id, rank, round(score, 6) AS score FROM dr WHERE rank <= 10")
 def q38_residual_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _residual(spark, sf_dir, 10).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    rows = _vectors(spark, sf_dir).select("vec_id", "v")
+    return _residual(rows, _asked(rows, "v"), 10).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {V}, c AS (SELECT i, sum(v[i]) AS s FROM v, range(1, 65) r(i) GROUP BY 1), t AS (SELECT list(s ORDER BY i) AS t, (SELECT count(*) FROM v) AS n FROM c)
@@ -215,3 +215,29 @@ def q43_dup_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     met = B.blockwise(B.block_pairs(_asked(rows, "v"), rows.select("vec_id", "v"), ["v"], ["v"]), near, "query_id long, near long")
     got = met.groupBy("query_id").agg(F.sum("near").alias("near")).crossJoin(F.broadcast(n))  # n is one row
     return got.select("query_id", "near", F.round(F.col("near") / (F.col("n") - 1), 9).alias("rate"))
+
+
+@query(f"""WITH {HAMMING}, {DENSE[DENSE.index("sc AS"):]},
+al AS (SELECT 'dense' AS scorer, query_id, vec_id, score FROM sc UNION ALL SELECT 'residual', query_id, vec_id, score FROM sc UNION ALL SELECT 'hamming', query_id, vec_id, score FROM hs),
+ra AS (SELECT *, row_number() OVER (PARTITION BY scorer, query_id ORDER BY round(score, 9) DESC, 'v' || vec_id) AS rank FROM al WHERE abs(vec_id // 50 - query_id // 50) <= 2)
+SELECT scorer, 'v' || query_id AS query_id, 'v' || vec_id AS vec_id, rank, round(score, 6) AS score FROM ra WHERE rank <= 10""")
+def q87_eligible_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact, residual and binary search among the rows that each query may be given: those of five neighbouring shelves of fifty.  Ids are texts."""
+    name = F.concat(F.lit("v"), F.col("vec_id").cast("string"))
+    rows = stored(_vectors(spark, sf_dir).select(name.alias("vec_id"), "v", F.expr("vec_id div 50").alias("shelf"), (F.col("vec_id") % EACH == 0).alias("asks")))
+    asks = rows.where("asks").select(F.col("vec_id").alias("query_id"), "v", "shelf")
+    near = asks.select("query_id", F.explode(F.sequence(F.col("shelf") - 2, F.col("shelf") + 2)).alias("shelf"))
+    eligible = stored(near.join(rows.select("vec_id", "shelf"), "shelf").select("query_id", "vec_id"))
+    given, asked = rows.select("vec_id", "v"), asks.select("query_id", "v")
+    codes = stored(rows.select("vec_id", ST.pack({"semantic": (ST.lanes(F.col("v"), FAMILY), 64)}).alias("code"), "asks"))
+    coded = codes.where("asks").select(F.col("vec_id").alias("query_id"), "code")
+    found = {
+        "dense": R.dense_topk(asked, given, 10, eligible=eligible),
+        "residual": _residual(given, asked, 10, eligible),
+        "hamming": R.ranked(B.hamming_topk(coded, codes.select("vec_id", "code"), 10, views=[(8, 1.0)], eligible=eligible), 10, item="vec_id"),
+    }
+    out = None
+    for scorer, part in found.items():
+        part = part.select(F.lit(scorer).alias("scorer"), "query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+        out = part if out is None else out.union(part)
+    return out
