@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lifecycle import shared
+
 
 def metrics(rankings: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     """(method, query_id, ndcg, recall, mrr) from rankings(method, query_id, doc_id, rank) and qrels(query_id, doc_id, gain).
@@ -68,19 +72,118 @@ def error_upper_bound(errors: int, count: int, delta: float = 0.05) -> float:
     return p
 
 
+#: Keys whose sums a task holds at a time; a sum that far below zero is none.
+HELD, EVEN = 256, 1e-12
+
+
+def resample_weights(key: int, resamples: int, seed: int) -> np.ndarray:
+    """How often a row counts in each resample: Poisson(1) variates that follow from the row's hashed key and the seed."""
+    return np.random.Generator(np.random.Philox(key=[seed, key & (1 << 64) - 1])).poisson(1.0, resamples).astype(np.float64)
+
+
 def poisson_bootstrap(deltas: DataFrame, *, by: str, value: str, key: str, resamples: int = 5000, seed: int = 20260920, tail: float = 0.025) -> DataFrame:
     """(by, mean, n, low, high): an interval of the mean by Poisson resampling, ``tail`` on either side.
 
-    A row's weight in a resample is a Poisson(1) variate from the hash of (seed, resample, key): rows are never
-    gathered, each resample is a weighted sum, and reruns agree.
+    A row's weights in all resamples are one vector from its own generator, so reruns agree however rows are dealt.  A
+    task adds up two vectors for each of ``by``, of weights and of weighted values; these meet in two steps.  No row is
+    written for a row and a resample, and no rows are gathered.  Rows with a null value are left out.
+    """
+    kind = deltas.schema[by].dataType.simpleString()
+    shape = f"name {kind}, w array<double>, s array<double>"
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        like = None
+
+        def out() -> pa.RecordBatch:
+            vectors = [pa.array([v[i] for v in held.values()], pa.list_(pa.float64())) for i in (0, 1)]
+            return pa.RecordBatch.from_arrays([pa.array(list(held), like), *vectors], names=["name", "w", "s"])
+
+        for batch in batches:
+            like = batch.schema.field("name").type
+            for name, one, x in zip(batch["name"].to_pylist(), batch["key"].to_pylist(), batch["value"].to_pylist(), strict=True):
+                if name not in held and len(held) >= HELD:
+                    yield out()
+                    held.clear()
+                total, weighted = held.setdefault(name, (np.zeros(resamples), np.zeros(resamples)))
+                w = resample_weights(one, resamples, seed)
+                total += w
+                weighted += w * x
+        if held:
+            yield out()
+
+    def add(rows: pa.Table) -> pa.Table:
+        both = [np.array(rows[c].combine_chunks().flatten().to_numpy()).reshape(rows.num_rows, resamples).sum(axis=0) for c in ("w", "s")]
+        return pa.table({"name": rows["name"].slice(0, 1), **{c: pa.array([v], pa.list_(pa.float64())) for c, v in zip("ws", both)}})
+
+    def spread(rows: pa.Table) -> pa.Table:
+        done = add(rows)
+        w, s = (done[c].combine_chunks().flatten().to_numpy() for c in "ws")
+        low, high = np.percentile(s[w > 0] / w[w > 0], [100 * tail, 100 * (1 - tail)]) if (w > 0).any() else (None, None)
+        return pa.table({"name": done["name"], "low": pa.array([low], pa.float64()), "high": pa.array([high], pa.float64())})
+
+    rows = deltas.select(F.col(by).alias("name"), F.xxhash64(key).alias("key"), F.col(value).cast("double").alias("value")).where("value is not null")
+    some = rows.mapInArrow(sums, shape).withColumn("salt", F.spark_partition_id() % 64).groupBy("name", "salt").applyInArrow(add, shape)
+    bounds = some.groupBy("name").applyInArrow(spread, f"name {kind}, low double, high double").withColumnRenamed("name", by)
+    return rows.groupBy(F.col("name").alias(by)).agg(F.avg("value").alias("mean"), F.count("*").alias("n")).join(bounds, by)
+
+
+def router_threshold(rows: DataFrame) -> tuple[float | None, int]:
+    """(threshold, accepted) of a router: of all thresholds at which no domain loses, the one that accepts most; (None, 0) if only accepting none does.
+
+    rows(score, domain, delta): a domain's gain at a threshold is its accepted rows' deltas over all its rows; null scores
+    are never accepted.  Every score is a threshold.  Rows are sorted in ranges of scores; each range's sums by domain
+    give where the next begins, so a range is read once, from its own start, and tells the last threshold that holds.
+    Domains are few; the driver sees their sums for each range, and one row of each range.
+    """
+    sizes = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    kept = rows.where("score is not null").select(F.col("score").cast("double").alias("score"), "domain", F.col("delta").cast("double").alias("delta"))
+    ranged = shared(kept.repartitionByRange(F.col("score").desc()).sortWithinPartitions(F.col("score").desc()).withColumn("range", F.spark_partition_id()))
+    before: dict[int, dict] = {}
+    running, count = dict.fromkeys(sizes, 0.0), 0
+    sums = ranged.groupBy("range", "domain").agg(F.sum("delta").alias("s"), F.count("*").alias("n")).orderBy("range").collect()
+    for at in sorted({r["range"] for r in sums}):
+        before[at] = {"count": count, "sums": dict(running)}
+        for r in sums:
+            if r["range"] == at:
+                running[r["domain"]] += r["s"]
+                count += r["n"]
+    starts = rows.sparkSession.sparkContext.broadcast(before)  # a number for each range and domain
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, count, gains, score, best = None, 0, {}, None, None
+        found = []
+        for batch in batches:
+            for value, domain, delta, at in zip(*(batch[c].to_pylist() for c in ("score", "domain", "delta", "range")), strict=True):
+                if (at, value) != (here, score) and score is not None and all(g >= -EVEN for g in gains.values()):
+                    best = score, count  # all rows of this score are in
+                if at != here:
+                    found += [best] if best else []
+                    here, count, gains, best = at, starts.value[at]["count"], dict(starts.value[at]["sums"]), None
+                gains[domain] += delta
+                count, score = count + 1, value
+        if score is not None and all(g >= -EVEN for g in gains.values()):
+            best = score, count
+        found += [best] if best else []
+        yield pa.RecordBatch.from_pydict({"threshold": pa.array([f[0] for f in found], pa.float64()), "accepted": pa.array([f[1] for f in found], pa.int64())})
+
+    dealt = ranged.repartition("range").sortWithinPartitions("range", F.col("score").desc())
+    best = dealt.mapInArrow(last, "threshold double, accepted long").orderBy(F.col("accepted").desc()).first()
+    return (best["threshold"], best["accepted"]) if best else (None, 0)
+
+
+def router_gate(rows: DataFrame, threshold: float | None, *, least: int = 30, slack: float = 0.001, resamples: int = 5000) -> DataFrame:
+    """(domain, n, accepted, mean, low, approved) of calibration rows(query_id, score, domain, delta) at a threshold.
+
+    A domain is approved if it accepts ``least`` rows, gains nothing less than zero in the mean, and the lower bound of
+    its gain is at most ``slack`` below zero.
     """
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "resample", key), 11) / float(1 << 53)
-    cuts = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)]).tolist()
-    weight = sum((F.when(u >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    drawn = deltas.select(by, key, value, F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample")).withColumn("w", weight)
-    means = drawn.groupBy(by, "resample").agg((F.sum(F.col("w") * F.col(value)) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
-    spread = means.groupBy(by).agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
-    return deltas.groupBy(by).agg(F.avg(value).alias("mean"), F.count("*").alias("n")).join(spread, by)
+    taken = F.coalesce(F.col("score") >= F.lit(threshold), F.lit(False)) if threshold is not None else F.lit(False)
+    made = shared(rows.select("query_id", "domain", taken.alias("taken"), F.when(taken, F.col("delta")).otherwise(0.0).cast("double").alias("gain")))
+    bound = poisson_bootstrap(made, by="domain", value="gain", key="query_id", resamples=resamples)
+    counts = made.groupBy("domain").agg(F.count_if("taken").alias("accepted"))
+    passed = (F.col("accepted") >= least) & (F.col("mean") >= 0) & (F.col("low") >= -slack)
+    return bound.join(counts, "domain").select("domain", "n", "accepted", "mean", "low", passed.alias("approved"))
 
 
 def scope_certificate(interval: DataFrame, *, minimum_samples: int = 100, minimum_gain: float = 0.0) -> DataFrame:

@@ -231,3 +231,32 @@ def q79_logistic_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = L.model_json(*L.fit_logistic(rows.where("doc_id % 2 = 0"), ["x1", "x2", "x3"], "y"))
     weights, bias = L.parse_model(text)
     return rows.select("doc_id", L.sigmoid([F.col("x1"), F.col("x2"), F.col("x3")], weights, bias).alias("score"))
+
+
+_DELTA = "CASE WHEN y = 1 THEN 0.02 + 0.1 * x3 ELSE -0.2 + 0.1 * x2 END"
+
+
+@query(f"""WITH {LABELLED}, s AS (SELECT x.doc_id, lang AS domain, {_SCORE} AS score, {_DELTA} AS delta FROM x JOIN documents d ON d.doc_id = x.doc_id),
+tune AS (SELECT * FROM s WHERE doc_id % 2 = 0), cal AS (SELECT * FROM s WHERE doc_id % 2 = 1),
+g AS (SELECT t.score AS threshold, r.domain, sum(r.delta) FILTER (r.score >= t.score) AS gain, count(*) FILTER (r.score >= t.score) AS n FROM (SELECT DISTINCT score FROM tune) t, tune r GROUP BY ALL),
+b AS (SELECT threshold, sum(n)::BIGINT AS tuned FROM g GROUP BY 1 HAVING min(coalesce(gain, 0)) >= 0 ORDER BY tuned DESC LIMIT 1)
+SELECT domain, round(threshold, 6) AS threshold, coalesce(tuned, 0) AS tuned, count(*) AS n, count(*) FILTER (score >= threshold) AS accepted, round(sum(CASE WHEN score >= threshold THEN delta ELSE 0 END) / count(*), 6) AS mean,
+count(*) FILTER (score >= threshold) >= 5 AND sum(CASE WHEN score >= threshold THEN delta ELSE 0 END) >= 0 AS qualified FROM cal LEFT JOIN b ON true GROUP BY domain, threshold, tuned""")
+def q88_router_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The threshold at which no language of the even documents loses and most are accepted, and what it does to the odd ones."""
+    rows = _scored(spark, sf_dir).join(table(spark, sf_dir, "documents", "doc_id", "lang"), "doc_id")
+    delta = F.when(F.col("y") == 1, 0.02 + 0.1 * F.col("x3")).otherwise(-0.2 + 0.1 * F.col("x2"))
+    cases = stored(rows.select(F.col("doc_id").alias("query_id"), "score", F.col("lang").alias("domain"), delta.alias("delta")))
+    threshold, tuned = E.router_threshold(cases.where("query_id % 2 = 0"))
+    told = E.router_gate(cases.where("query_id % 2 = 1"), threshold, least=5, slack=1.0, resamples=200)
+    return told.select("domain", F.round(F.lit(threshold), 6).alias("threshold"), F.lit(tuned).cast("long").alias("tuned"), "n", "accepted", (F.round("mean", 6) + 0.0).alias("mean"), F.col("approved").alias("qualified"))
+
+
+@query()
+def q89_router_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the lower bound of each language's gain, which must not lie more than a thousandth below zero."""
+    rows = _scored(spark, sf_dir).join(table(spark, sf_dir, "documents", "doc_id", "lang"), "doc_id")
+    delta = F.when(F.col("y") == 1, 0.02 + 0.1 * F.col("x3")).otherwise(-0.2 + 0.1 * F.col("x2"))
+    cases = stored(rows.select(F.col("doc_id").alias("query_id"), "score", F.col("lang").alias("domain"), delta.alias("delta")))
+    threshold, _ = E.router_threshold(cases.where("query_id % 2 = 0"))
+    return E.router_gate(cases.where("query_id % 2 = 1"), threshold)
