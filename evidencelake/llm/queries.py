@@ -149,5 +149,45 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+
+
+def _op12_sql() -> str:
+    """Clustering as one step for each round: distances by products, the nearest of each row, floors of means by component."""
+    far = "list_dot_product(q, q) - 2 * list_dot_product(q, c) + list_dot_product(c, c)"
+    mean = ", ".join(f"floor(sum(q[{i}]) / count(*))" for i in range(1, centroids.DIM + 1))
+    steps = [
+        f"""k AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor({centroids.SCALE} * x::DOUBLE)) AS q, sha256('{centroids.SEED}:' || coalesce(vec_id::VARCHAR, '')) AS h FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = {centroids.DIM} AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY h, q) - 1)::INTEGER AS cluster, q AS c FROM k ORDER BY h, q LIMIT {centroids.CENTROIDS})",
+    ]
+    for r in range(centroids.ROUNDS + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, any_value(q) AS q, arg_min(cluster, (far, cluster)) AS cluster, min(far) AS far FROM (SELECT n, vec_id, q, cluster, {far} AS far FROM k, c{r}) GROUP BY n, vec_id)")
+        steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c{r}.cluster, coalesce(m, c) AS c FROM c{r} LEFT JOIN (SELECT cluster, [{mean}] AS m FROM a{r} GROUP BY 1) USING (cluster))")
+    last = centroids.ROUNDS
+    return "WITH " + ",\n".join(steps[:-1]) + f"""
+SELECT vec_id, cluster, far::BIGINT AS distance, (sum(far) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(far) OVER ())::BIGINT AS inertia,
+sha256(array_to_string(list_transform(c, lambda x: x::BIGINT), ',')) AS centroid_sha256 FROM a{last} JOIN c{last} USING (cluster)"""
+
+
+#: The checksum's table is made from its rule; features are hashed once each.
+OP13_SQL = r"""
+WITH RECURSIVE tb AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS tb),
+low AS (SELECT 'd' AS side, row_number() OVER () AS n, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+  UNION ALL SELECT 'b', row_number() OVER (), NULL, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+w AS MATERIALIZED (SELECT side, n, doc_id, coalesce(regexp_extract_all(t, '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+'), []) AS w FROM low),
+f AS MATERIALIZED (SELECT side, n, unnest(list_concat(w, list_transform(list_zip(w[:-2], w[2:]), lambda p: p[1] || ' ' || p[2]))) AS f FROM w),
+h AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM f)),
+b AS MATERIALIZED (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)), lambda c, y: xor(c // 256, tb[(xor(c, y) % 256) + 1])), 4294967295) % 10000 AS bucket FROM h, tb),
+c AS (SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM f JOIN b USING (f) GROUP BY 1),
+z AS (SELECT sum(s) AS ss, sum(t) AS tt FROM c),
+g AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (ss + 10000)::DOUBLE / ((s + 1)::DOUBLE * (tt + 10000)::DOUBLE))) AS gain FROM c, z),
+v AS (SELECT n, count(*) AS k, floor(sum(gain) / count(*))::BIGINT AS weight FROM f JOIN b USING (f) JOIN g USING (bucket) WHERE side = 'd' GROUP BY n),
+s AS (SELECT doc_id, len(w) AS words, coalesce(k, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::UBIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM w LEFT JOIN v USING (n) WHERE side = 'd'),
+r AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (words >= 20) OVER () AS total FROM s)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND place <= 25 * total // 100 THEN place END AS rank FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_format": OP6_SQL, "op10_topk_products": OP10_SQL}
+    return {"op6_chat_format": OP6_SQL, "op10_topk_products": OP10_SQL, "op12_cluster_centroids": _op12_sql(), "op13_target_resample": OP13_SQL}
