@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import blocks as B
+from ..operators import residual as RX
 from ..operators import retrieval as R
 from ..operators import selection as S
 from ..operators import stamps as ST
@@ -187,8 +188,8 @@ def _residual(rows: DataFrame, asked: DataFrame, k: int, eligible: DataFrame | B
 
 @query(f"WITH {DENSE} SELECT query_id, vec_id, rank, round(score, 6) AS score FROM dr WHERE rank <= 10")
 def q38_residual_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _vectors(spark, sf_dir).select("vec_id", "v")
-    return _residual(rows, _asked(rows, "v"), 10).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    rows = stored(_vectors(spark, sf_dir).select("vec_id", "v"))
+    return RX.search(_asked(rows, "v"), RX.build(rows), rows, 10).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {V}, c AS (SELECT i, sum(v[i]) AS s FROM v, range(1, 65) r(i) GROUP BY 1), t AS (SELECT list(s ORDER BY i) AS t, (SELECT count(*) FROM v) AS n FROM c)
