@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .stamps import parse_stamp
+from .stamps import Family, parse_stamp
 
 #: The name of the portable form, its greatest size in bytes, and how a view is named.
 PORTABLE, MOST_BYTES, VIEW = "scqr1", 8192, r"^[a-z][a-z0-9_]{0,31}$"
@@ -105,3 +108,50 @@ def canonical(stamps: Column) -> Column:
     """The portable text of a map that parse_portable() gave."""
     named = F.transform(F.array_sort(F.map_keys(stamps)), lambda n: F.concat(json_string(n), F.lit(":"), json_string(F.element_at(stamps, n))))
     return F.concat(F.lit(f'{{"format":"{PORTABLE}","views":{{'), F.array_join(named, ","), F.lit("}}"))
+
+
+#: The parts of a computation's identity that name something, and how many sources it may have.
+NAMED, MOST_SOURCES = ("tenant", "principal", "model", "prompt", "tool", "policy"), 128
+HEX_DIGEST = "^[0-9a-f]{64}$"
+
+
+def identifier(text: Column) -> Column:
+    """Whether a text may name something: 1 to 512 bytes, no control characters."""
+    return F.coalesce(F.octet_length(text).between(1, 512) & ~text.rlike(r"[\x00-\x1f\x7f]"), F.lit(False))
+
+
+def computation_identity(parts: dict[str, Column], request: Column, sources: Column) -> Column:
+    """What exact reuse of a result is keyed by: the digest of all that it depends on; null for a malformed part.
+
+    ``parts`` has tenant, principal, model, prompt, tool and policy; ``request`` is a digest and ``sources``
+    array<struct<id, revision, digest>>, 1 to 128 of different ids, in any order.
+    """
+    if set(parts) != set(NAMED):
+        raise ValueError(f"the parts are {', '.join(NAMED)}")
+    listed = F.transform(F.array_sort(sources), lambda s: F.concat(F.lit("["), json_string(s["id"]), F.lit(","), json_string(s["revision"]), F.lit(","), json_string(s["digest"]), F.lit("]")))
+    fields = {**{n: json_string(c) for n, c in parts.items()}, "request": json_string(request), "sources": F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]"))}
+    written = F.concat(F.lit("{"), *[F.concat(F.lit(("," if i else "") + json.dumps(n) + ":"), fields[n]) for i, n in enumerate(sorted(fields))], F.lit("}"))
+    ids = F.transform(sources, lambda s: s["id"])
+    fine = F.size(sources).between(1, MOST_SOURCES) & (F.size(F.array_distinct(ids)) == F.size(ids)) & request.rlike(HEX_DIGEST)
+    fine = fine & F.forall(sources, lambda s: identifier(s["id"]) & identifier(s["revision"]) & F.coalesce(s["digest"].rlike(HEX_DIGEST), F.lit(False)))
+    for column in parts.values():
+        fine = fine & identifier(column)
+    return F.when(fine, F.sha2(written, 256))
+
+
+def policy_scope(scope: str, families: dict[str, Family], weights: dict[str, float]) -> str:
+    """What a calibrated policy is bound to: an application's scope, and the views, families and weights of its queries.
+
+    Weights are positive and are brought to a sum of one.  No query's values are in it.
+    """
+    if not scope or set(weights) != set(families) or not all(0 < w < float("inf") for w in weights.values()):
+        raise ValueError("a scope, and a positive weight for each view")
+    total = sum(weights[n] for n in sorted(weights))
+    views = [[n, families[n].identity, families[n].bits] for n in sorted(families)]
+    named = [scope, views, [[n, weights[n] / total] for n in sorted(weights)]]
+    return "facet-query:" + hashlib.sha256(json.dumps(named, separators=(",", ":")).encode()).hexdigest()
+
+
+def profile_identity(normalization: str, semantic_weight: float) -> str:
+    """What a fusion profile is told apart by."""
+    return hashlib.sha256(json.dumps({"normalization": normalization, "semantic_weight": semantic_weight}, sort_keys=True, separators=(",", ":")).encode()).hexdigest()

@@ -56,3 +56,22 @@ def q83_packet_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = made.withColumn("f", P.chunk_fields(F.col("chunk")))
     same = (F.col("f.fields")["source"] == F.col("source")) & (F.col("f.fields")["sha256"] == F.col("digest"))
     return read.select("page_id", F.octet_length("chunk").cast("long").alias("evidence_bytes"), F.octet_length("header").cast("long").alias("header_bytes"), F.when(same, F.sha2("f.text", 256)).alias("back"))
+
+
+@query(r"""
+WITH t AS (SELECT conv_id, turn, role, conv_id || '/' || turn AS id, sha256(text) AS d FROM conversations),
+c AS (SELECT conv_id, max(turn) AS last, count(*) AS n, string_agg('["' || id || '","r' || turn || '","' || d || '"]', ',' ORDER BY id) AS sources FROM t GROUP BY 1)
+SELECT c.conv_id, n AS n_sources, CASE WHEN c.conv_id % 5 <> 0 THEN sha256('{"model":"m-1","policy":"' || CASE WHEN c.conv_id % 2 = 0 THEN 'open' ELSE 'priv\u00e9' END || '","principal":"user ' || c.conv_id
+|| '","prompt":"p\"1\"","request":"' || d || '","sources":[' || sources || '],"tenant":"t","tool":"none"}') END AS identity FROM c JOIN t ON t.conv_id = c.conv_id AND t.turn = c.last
+""")
+def q91_computation_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation's answer as a computation over its turns; where the request is no digest there is no identity."""
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    source = F.struct(F.concat_ws("/", "conv_id", "turn").alias("id"), F.concat(F.lit("r"), F.col("turn").cast("string")).alias("revision"), T.digest(F.col("text")).alias("digest"))
+    whole = turns.groupBy("conv_id").agg(F.collect_list(source).alias("sources"), F.max_by(T.digest(F.col("text")), "turn").alias("request"), F.count("*").alias("n_sources"))
+    parts = {
+        "tenant": F.lit("t"), "principal": F.concat(F.lit("user "), F.col("conv_id").cast("string")), "model": F.lit("m-1"), "prompt": F.lit('p"1"'), "tool": F.lit("none"),
+        "policy": F.when(F.col("conv_id") % 2 == 0, "open").otherwise("privé"),
+    }
+    request = F.when(F.col("conv_id") % 5 == 0, F.upper("request")).otherwise(F.col("request"))
+    return whole.select("conv_id", "n_sources", P.computation_identity(parts, request, F.col("sources")).alias("identity"))

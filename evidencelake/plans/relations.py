@@ -97,6 +97,22 @@ def q34_receipt_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.groupBy("user_id").agg(F.count_if(~F.col("m")).alias("handoffs"), F.count_if("m").alias("mutations"), F.count_if("hit_selective").alias("hits"), F.count_if("hit_global").alias("hits_global"))
 
 
+@query("""
+WITH e AS (SELECT user_id, event_id, event_type = 'error' AS m, row_number() OVER (ORDER BY ts, event_id) AS n FROM events),
+h AS (SELECT event_id, m, max(CASE WHEN NOT m THEN n END) OVER u AS handoff, max(CASE WHEN m THEN n END) OVER u AS mine, max(CASE WHEN m THEN n END) OVER a AS anyone
+      FROM e WINDOW u AS (PARTITION BY user_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+w AS (SELECT 100 + event_id % 900 AS units, coalesce(handoff > coalesce(mine, 0), false) AS s, coalesce(handoff > coalesce(anyone, 0), false) AS g FROM h WHERE NOT m),
+x AS (SELECT 'exact_graph' AS method, units, false AS hit, units AS moved FROM w UNION ALL SELECT 'selective_cache', units, s, CASE WHEN s THEN 32 ELSE units + 32 END FROM w
+  UNION ALL SELECT 'global_cache', units, g, CASE WHEN g THEN 32 ELSE units + 32 END FROM w)
+SELECT method, count(*) AS handoffs, count(*) FILTER (hit) AS hits, sum(moved)::BIGINT AS transfer, sum(units)::BIGINT AS resolved FROM x GROUP BY method
+""")
+def q90_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that handoffs move without receipts, under selective and under global invalidation."""
+    told = RC.replay(table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type"), F.col("event_type") == "error").where("not m")
+    ways = {"exact_graph": F.lit(None), "selective_cache": F.col("hit_selective"), "global_cache": F.col("hit_global")}
+    return RC.accounting(told, ways, 100 + F.col("event_id") % 900)
+
+
 @query("""
 WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
 s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM o),

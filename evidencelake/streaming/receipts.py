@@ -59,6 +59,23 @@ def reuse(requests: DataFrame, identity: Column, size: Column, *order: str) -> D
     return named.groupBy("identity").agg(F.count("*").alias("n"), (F.count("*") - 1).alias("hits"), ((F.count("*") - 1) * F.max("bytes")).alias("saved"))
 
 
+#: Fixed value: bytes of a receipt.
+RECEIPT = 32
+
+
+def accounting(handoffs: DataFrame, hits: dict[str, Column], units: Column) -> DataFrame:
+    """(method, handoffs, hits, transfer, resolved): what each way of reuse moves, a row for each.
+
+    ``hits`` names the ways and says whether a handoff found its receipt; null stands for no receipts at all.  A hit moves
+    a receipt, a miss the packet and a receipt, and a way without receipts the packet alone; what is resolved is the
+    packets' bytes in any case.
+    """
+    ways = [F.struct(F.lit(n).alias("method"), h.cast("boolean").alias("hit")) for n, h in hits.items()]
+    each = handoffs.select(units.cast("long").alias("units"), F.explode(F.array(*ways)).alias("w")).select("units", "w.*")
+    moved = F.when(F.col("hit").isNull(), F.col("units")).when(F.col("hit"), RECEIPT).otherwise(F.col("units") + RECEIPT)
+    return each.groupBy("method").agg(F.count("*").alias("handoffs"), F.count_if(F.coalesce("hit", F.lit(False))).alias("hits"), F.sum(moved).alias("transfer"), F.sum("units").alias("resolved"))
+
+
 def sessions(events: DataFrame, *, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """(user_id, start, n) of session windows; works on a stream (closed sessions are appended) and on a table.
 
@@ -111,7 +128,8 @@ def ttl_lru(events: DataFrame, *, capacity: int = 2, ttl_seconds: float = 86_400
     size = F.col("bytes").cast("long") if "bytes" in events.columns else F.lit(0).cast("long")
     timed = events.select("principal", "event_id", "item", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), size.alias("bytes"))
     dealt = timed.repartition("principal").sortWithinPartitions("principal", "at", "event_id")
-    return dealt.mapInArrow(fold, "principal long, event_id long, hit boolean")
+    kind = {c: events.schema[c].dataType.simpleString() for c in ("principal", "event_id")}
+    return dealt.mapInArrow(fold, f"principal {kind['principal']}, event_id {kind['event_id']}, hit boolean")
 
 
 def stream_receipts(events: DataFrame, *, ttl: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -142,5 +160,5 @@ def stream_receipts(events: DataFrame, *, ttl: str = "1 hour", late: str = "10 m
 
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return timed.groupBy("principal").applyInPandasWithState(
-        step, "principal long, event_id long, hit boolean", "items array<string>, made array<double>", "append", GroupStateTimeout.EventTimeTimeout
+        step, f"principal {events.schema['principal'].dataType.simpleString()}, event_id {events.schema['event_id'].dataType.simpleString()}, hit boolean", "items array<string>, made array<double>", "append", GroupStateTimeout.EventTimeTimeout
     )

@@ -70,3 +70,25 @@ def test_chunks_round_trip(spark):
         assert r["h"] == json.dumps({"source": s, "revision": "r", "sha256": d}, sort_keys=True) + "\n"
         assert r["f"]["fields"] == {"source": s, "sha256": d} and r["f"]["text"] == t
     assert told(spark, payloads.chunk_fields(F.col("t")), ['{"a":1}\nx', "no header", "[]\nx"]) == [None] * 3
+
+
+def test_identities(spark):
+    import hashlib
+
+    import pytest
+    from evidencelake.operators.stamps import Family
+
+    digest = "ab" * 32
+    good = [("b", "r\u00e9", digest), ("a", 'r"', digest)]
+    cases = [(digest, good), (digest.upper(), good), (digest, []), (digest, good + [("a", "r2", digest)]), (digest, [("a", "r", "short")]), (digest, [("", "r", digest)]), (digest, [("a\n", "r", digest)]), (digest, [(f"s{i}", "r", digest) for i in range(129)]), (None, good), (digest, None)]
+    frame = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, request string, sources array<struct<id:string,revision:string,digest:string>>")
+    parts = {n: F.lit(f"{n} x") for n in payloads.NAMED}
+    got = [r["x"] for r in frame.select("i", payloads.computation_identity(parts, F.col("request"), F.col("sources")).alias("x")).orderBy("i").collect()]
+    whole = {**{n: f"{n} x" for n in payloads.NAMED}, "request": digest, "sources": sorted(good)}
+    assert got == [hashlib.sha256(json.dumps(whole, sort_keys=True, separators=(",", ":")).encode()).hexdigest()] + [None] * 9
+    families = {"b": Family("e", 3, 16), "a": Family("f", 3, 16)}
+    scope = payloads.policy_scope("app", families, {"a": 1.0, "b": 3.0})
+    assert scope.startswith("facet-query:") and scope == payloads.policy_scope("app", families, {"a": 2, "b": 6}) != payloads.policy_scope("app", families, {"a": 1, "b": 1})
+    with pytest.raises(ValueError):
+        payloads.policy_scope("app", families, {"a": 1.0})
+    assert payloads.profile_identity("zscore", 0.75) == hashlib.sha256(b'{"normalization":"zscore","semantic_weight":0.75}').hexdigest()
