@@ -10,27 +10,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.lifecycle import shared
+
 
 def replay(events: DataFrame, mutation: Column, *, key: str = "user_id") -> DataFrame:
     """Add ``m``, ``hit_selective`` and ``hit_global`` to events(event_id, ts, key): whether a handoff finds its receipt.
 
     A receipt of the key is there if a handoff came since the last mutation of that key; under global invalidation,
-    since the last mutation of any key.  The latter's time comes from running maxima within hours and one over the hours
-    (a row each), so that no window holds all events.
+    since the last mutation of any key.  The latter's time comes from running maxima within ranges of time that hold
+    about as many events each, and one over the ranges (a row each), so that no window holds all events or a busy hour.
     """
     at = F.struct(F.col("ts").cast("timestamp").alias("ts"), "event_id")
-    marked = events.withColumn("m", mutation).withColumn("__at", at).withColumn("__hour", F.date_trunc("hour", F.col("ts").cast("timestamp")))
-    order = Window.partitionBy(key).orderBy("ts", "event_id")
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    marked = events.withColumn("m", mutation).withColumn("__at", at)
+    ranged = shared(marked.repartitionByRange("ts", "event_id").withColumn("__range", F.spark_partition_id()))
     last = lambda when, over: F.max(F.when(when, F.col("__at"))).over(over)
-    mine = marked.withColumn("__handoff", last(~F.col("m"), earlier)).withColumn("__mutation", last(F.col("m"), earlier))
-    within = Window.partitionBy("__hour").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    hours = marked.groupBy("__hour").agg(F.max(F.when(F.col("m"), F.col("__at"))).alias("__top"))
-    before = hours.select("__hour", F.max("__top").over(Window.orderBy("__hour").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
-    timed = mine.withColumn("__within", last(F.col("m"), within)).join(before, "__hour")
+    within = Window.partitionBy("__range").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranged.groupBy("__range").agg(F.max(F.when(F.col("m"), F.col("__at"))).alias("__top"))
+    before = ranges.select("__range", F.max("__top").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    timed = ranged.withColumn("__within", last(F.col("m"), within)).join(F.broadcast(before), "__range")
+    earlier = Window.partitionBy(key).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    mine = timed.withColumn("__handoff", last(~F.col("m"), earlier)).withColumn("__mutation", last(F.col("m"), earlier))
     hit = lambda since: ~F.col("m") & F.coalesce(F.col("__handoff").isNotNull() & (since.isNull() | (F.col("__handoff") > since)), F.lit(False))
-    told = timed.withColumn("hit_selective", hit(F.col("__mutation"))).withColumn("hit_global", hit(F.coalesce("__within", "__before")))
-    return told.drop("__at", "__hour", "__handoff", "__mutation", "__within", "__before")
+    told = mine.withColumn("hit_selective", hit(F.col("__mutation"))).withColumn("hit_global", hit(F.coalesce("__within", "__before")))
+    return told.drop("__at", "__range", "__handoff", "__mutation", "__within", "__before")
 
 
 def recent(outcomes: DataFrame, by: str, *order: str, most: int = 128) -> DataFrame:
