@@ -204,7 +204,8 @@ def q77_fit_family(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q86_product_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four rotated families of 64 bits, fitted together on four weightings of the vectors, and the share of each bit over all of them."""
     rows = _vectors(spark, sf_dir)
-    views = {n: F.transform("v", lambda x, i, k=k: x * (1.5 + F.cos((i * k).cast("double")))) for k, n in enumerate(("entity", "relation", "semantic", "task"), 1)}
+    weighted = lambda k: F.transform("v", lambda x, i: x * (1.5 + F.cos((i * k).cast("double"))))
+    views = {n: weighted(k) for k, n in enumerate(("entity", "relation", "semantic", "task"), 1)}
     made = stored(rows.select("vec_id", *[c.alias(n) for n, c in views.items()]))
     families = SP.fit_product(made, {n: n for n in views}, encoders={n: f"embedding-64-{n}" for n in views}, bits={n: 64 for n in views}, iterations=5)
     codes = stored(made.select("vec_id", *[c.alias(n) for n, c in SP.spherical({n: F.col(n) for n in views}, families).items()]))
