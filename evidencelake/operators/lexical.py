@@ -147,12 +147,12 @@ def asked(queries: DataFrame, index: TextIndex, *, distinct: bool = True) -> Ask
     return Asked(stored(flat), blocks, queries.schema["query_id"].dataType.simpleString())
 
 
-def run(index: TextIndex, ask: Asked, kernel: Callable[[dict], dict], schema: str, *, blocks: DataFrame | None = None, more: DataFrame | None = None) -> DataFrame:
-    """What ``kernel`` makes of each block of the index and each pack of queries, some packs at a time; ``more``(qb, ...) adds columns to packs."""
+def run(index: TextIndex, ask: Asked, kernel: Callable[[dict], dict], schema: str, *, blocks: DataFrame | None = None, more: DataFrame | None = None, together: int = PACKS) -> DataFrame:
+    """What ``kernel`` makes of each block of the index and each pack of queries, ``together`` packs at a time; ``more``(qb, ...) adds columns to packs."""
     out = None
     packs = ask.packs if more is None else ask.packs.join(more, "qb")
-    for lo in range(0, ask.blocks, PACKS):
-        some = packs.where(F.col("qb").between(lo, lo + PACKS - 1)) if ask.blocks > PACKS else packs
+    for lo in range(0, ask.blocks, together):
+        some = packs.where(F.col("qb").between(lo, lo + together - 1)) if ask.blocks > together else packs
         met = (blocks if blocks is not None else index.blocks).crossJoin(F.broadcast(some))  # some 50 MB at most
         made = B.blockwise(met, kernel, schema)
         out = made if out is None else out.union(made)
@@ -450,5 +450,6 @@ def candidates(fused: Fusion, limits: dict[str, int]) -> DataFrame:
         return {"query_id": asks, "doc_id": named, **{f"r_{n}": column(counts[n], np.int64) for n in SCORERS}}
 
     shape = f"query_id {ask.kind}, doc_id {index.kind}, " + ", ".join(f"r_{n} long" for n in SCORERS)
-    ranks = run(index, ask, better, shape, more=more).groupBy("query_id", "doc_id").agg(*[F.sum(f"r_{n}").alias(f"r_{n}") for n in SCORERS])
+    # a pack with its candidates is large enough to go alone
+    ranks = run(index, ask, better, shape, more=more, together=1).groupBy("query_id", "doc_id").agg(*[F.sum(f"r_{n}").alias(f"r_{n}") for n in SCORERS])
     return chosen.join(ranks, ["query_id", "doc_id"])

@@ -46,8 +46,10 @@ def frames(spark, queries, docs):
 
 
 @pytest.mark.parametrize("bounded", [True, False])
-def test_complete_lists_equal_plain_loops(spark, bounded):
+def test_complete_lists_equal_plain_loops(spark, bounded, monkeypatch):
     queries, docs = corpus(1)
+    if not bounded:
+        monkeypatch.setattr(lexical, "PACK_TERMS", 4)  # more packs than go together
     q, d = frames(spark, queries, docs)
     index = lexical.text_index(d, q if bounded else None, most_docs=40, most_postings=300)
     assert index.blocks.count() > 7 and index.blocks.selectExpr("max(size(ids))").first()[0] <= 40
@@ -99,8 +101,9 @@ def test_pruning_scores_a_tenth():
     assert scored * 10 < plain
 
 
-def test_fusion_equals_plain_loops(spark):
+def test_fusion_equals_plain_loops(spark, monkeypatch):
     queries, docs = corpus(3, 150)
+    monkeypatch.setattr(lexical, "PACK_TERMS", 30)
     docs = [r for r in docs if r[0] != "twice"]
     q, d = frames(spark, queries, docs)
     limits = {"jaccard": 8, "bm25": 8, "fused": 5}
