@@ -31,7 +31,7 @@ class Receipts:
     """A session's receipts over three mappings.
 
     ``kept``: request -> (units, ends, used, {source: revision}), where used counts up; ``by_source``: source -> list of
-    requests; ``totals``: "bytes" and "used".
+    requests; ``totals``: "bytes", "used" and "soonest", before which no receipt is over.
     """
 
     def __init__(self, kept: MutableMapping, by_source: MutableMapping, totals: MutableMapping, *, most_entries: int = ENTRIES, most_bytes: int = BYTES, seconds: float = SECONDS):
@@ -50,9 +50,13 @@ class Receipts:
                 del self.by_source[source]
 
     def expire(self, now: int) -> int:
-        over = [r for r, (_, ends, _, _) in list(self.kept.items()) if ends <= now]
+        if now < self.totals.get("soonest", 0):
+            return 0  # no receipt is over before that
+        ends = {r: e for r, (_, e, _, _) in self.kept.items()}
+        over = [r for r, e in ends.items() if e <= now]
         for request in over:
             self._drop(request)
+        self.totals["soonest"] = min((e for e in ends.values() if e > now), default=now + self.span)
         return len(over)
 
     def ends(self) -> int | None:
@@ -150,6 +154,13 @@ class Held(MutableMapping):
     def __iter__(self):
         return iter([k[0] for k in self.state.keys()])
 
+    def items(self):
+        """All at once, and not key by key."""
+        return [(k[0], self.read(row)) for k, row in self.state.iterator()]
+
+    def values(self):
+        return [v for _, v in self.items()]
+
     def __len__(self) -> int:
         return sum(1 for _ in self.state.keys())
 
