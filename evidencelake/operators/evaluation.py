@@ -269,29 +269,44 @@ def diallel(cells: DataFrame, row: str, column: str, value: str) -> DataFrame:
     return out.withColumn("sca", F.col(value) - F.col("__r") - F.col("__c") + F.col("__all")).drop("__all", "__r", "__c")
 
 
+def restored_facts(sets: DataFrame, required: DataFrame | None = None) -> DataFrame:
+    """(case, source, needs, restored): the facts that a case needs, and those of them that leaving out loses and the source restores.
+
+    sets(case, source, facts, stale) may have many rows for a source; required(case, fact) are the facts that a case
+    needs, all that its rows have if there is none.  The rows are shuffled once, by case.  Of a case only the different
+    sets of facts of its fresh sources are held together.  A null fact is needed by none; where it is left out there is
+    no background, so what has all other facts restores it.
+    """
+    dealt = sets.where("case is not null").repartition("case")
+    first, whole = Window.partitionBy("case", "source").orderBy("source"), Window.partitionBy("case")
+    one = first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    merged = lambda listed: F.array_sort(F.array_distinct(F.flatten(listed)))
+    lists = [F.collect_set(c).over(one).alias(n) for c, n in ((F.col("facts"), "own"), (F.when(~F.col("stale"), F.col("facts")), "fresh"))]
+    sources = dealt.select("case", "source", *lists, F.row_number().over(first).alias("__n")).where("__n = 1").drop("__n")
+    if required is not None:
+        sources = sources.join(required.groupBy("case").agg(merged(F.collect_list(F.array("fact"))).alias("needs")), "case")
+    else:
+        sources = sources.withColumn("own", merged("own")).withColumn("needs", merged(F.collect_set("own").over(whole))).drop("own")
+    fresh = F.array_compact(F.array_intersect("needs", merged("fresh")))
+    held = sources.select("case", "source", "needs", fresh.alias("fresh")).withColumn("others", F.collect_set("fresh").over(whole))
+    # what is left out comes back with a source that has it and all facts that no fresh source without it has
+    elsewhere = lambda omitted, fact: F.exists("others", lambda t: F.array_contains(t, fact) & ~F.array_contains(t, omitted))
+    missing = F.array_compact(F.array_except("needs", "fresh"))
+    back = F.filter("needs", lambda omitted: (omitted.isNull() | F.array_contains("fresh", omitted)) & F.forall(missing, lambda fact: elsewhere(omitted, fact)))
+    return held.select("case", "source", "needs", back.alias("restored"))
+
+
 def restoration_gain(rows: DataFrame, required: DataFrame) -> DataFrame:
     """(case, omitted, source, before, after, gain): what putting one source back does when a required fact is left out.
 
     rows(case, source, fact, stale) has a row for each fact, required(case, fact) the facts that a case needs.  The
-    background is of fresh sources without the omitted fact; before and after say whether it, and it with the source,
-    cover all that is required.  Sets are counted, so no case is gathered.
+    background is of fresh sources without the omitted fact, so before is 0; after says whether it with the source covers
+    all that is required.
     """
-    needs = required.select("case", "fact").distinct()
-    omitted = needs.withColumnRenamed("fact", "omitted")
-    size = needs.groupBy("case").agg(F.count("*").alias("needed"))
-    fresh = rows.where("not stale").select("case", "source", "fact").distinct().join(needs, ["case", "fact"], "left_semi")
-    has = fresh.withColumnRenamed("fact", "omitted")
-    sources = rows.select("case", "source").distinct()
-    # fresh sources that lack the omitted fact, and what they cover
-    lacks = sources.join(omitted, "case").join(has, ["case", "source", "omitted"], "left_anti")
-    background = lacks.join(fresh, ["case", "source"]).select("case", "omitted", "fact").distinct()
-    covered = background.groupBy("case", "omitted").agg(F.count("*").alias("have"))
-    fresh_facts = sources.join(omitted, "case").join(fresh, ["case", "source"]).select("case", "source", "omitted", "fact")
-    added = fresh_facts.join(background, ["case", "omitted", "fact"], "left_anti").groupBy("case", "source", "omitted").agg(F.count("*").alias("more"))
-    told = sources.join(omitted, "case").join(size, "case").join(covered, ["case", "omitted"], "left").join(added, ["case", "source", "omitted"], "left")
-    have, more = F.coalesce("have", F.lit(0)), F.coalesce("more", F.lit(0))
-    before, after = (have == F.col("needed")).cast("int"), (have + more == F.col("needed")).cast("int")
-    return told.select("case", "omitted", "source", before.alias("before"), after.alias("after"), (after - before).alias("gain"))
+    told = restored_facts(rows.select("case", "source", F.array("fact").alias("facts"), "stale"), required)
+    after = F.array_contains(F.array_compact("restored"), F.col("omitted")).cast("int")
+    listed = told.select("case", F.explode(F.array_compact("needs")).alias("omitted"), "source", "restored")
+    return listed.select("case", "omitted", "source", F.lit(0).alias("before"), after.alias("after"), after.alias("gain"))
 
 
 def leakage(rows: DataFrame, key: Column, split: str = "split") -> DataFrame:

@@ -5,6 +5,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from evidencelake import plans
+from evidencelake.operators import evaluation
 
 
 def same_as_sql(spark, folder, name):
@@ -38,3 +39,35 @@ def test_expert_router_on_its_threshold(spark, tmp_path):
     pq.write_table(pa.table({"doc_id": ids, "quality": pa.array([1] * len(ids), pa.int32())}), tmp_path / "labels.parquet")
     got, want = same_as_sql(spark, tmp_path, "q69_expert_router")
     assert got == want and {r[1] for r in got} == {"hybrid", "fusion"}
+
+
+def test_restoration_gain_shuffles_lines_once(spark, tmp_path):
+    flags = ["A", "N", "R", None]
+    rows = [(k, n % (2 + k % 6) + 1, flags[(k * 7 + n * n) % (4 if k % 9 == 0 else 3)], "FO"[(k + n) % 2]) for k in range(200) for n in range(1 + k % 8)]
+    rows += [(1000, n % 7 + 1, flags[n % 3], "FO"[n % 2]) for n in range(3000)] + [(None, 1, "A", "F"), (1001, 1, None, None), (1002, 3, "A", "F")]
+    columns = list(zip(*rows))
+    kinds = {"l_orderkey": pa.int64(), "l_linenumber": pa.int32(), "l_returnflag": pa.string(), "l_linestatus": pa.string()}
+    pq.write_table(pa.table({n: pa.array(c, t) for c, (n, t) in zip(columns, kinds.items())}), tmp_path / "lineitem.parquet")
+    got, want = same_as_sql(spark, tmp_path, "q68_restoration_gain")
+    assert got == want
+    plan = plans.QUERIES["q68_restoration_gain"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_restoration_gain_of_required_facts(spark):
+    rows = [(c, s, f, (c + s) % 4 == 0) for c in range(30) for s in range(5) for f in range(6) if (c * 31 + s * 17 + f * f * 7) % 5 < 2]
+    needed = [(c, f) for c in range(1, 32) for f in range(7) if (c + f) % 3 and (f < 6 or c % 5 == 0)]
+    frames = spark.createDataFrame(rows, "case long, source long, fact long, stale boolean"), spark.createDataFrame(needed + needed[:9], "case long, fact long")
+    want = set()
+    for c in {r[0] for r in rows}:
+        facts, needs = {}, {f for k, f in needed if k == c}
+        for k, s, f, stale in rows:
+            if k == c:
+                facts.setdefault(s, set()).update([] if stale else [f])
+        for omitted in needs:
+            background = set().union(*[fs for fs in facts.values() if omitted not in fs])
+            for s, fs in facts.items():
+                before, after = (int(needs <= have) for have in (background, background | fs))
+                want.add((c, omitted, s, before, after, after - before))
+    got = [tuple(r) for r in evaluation.restoration_gain(*frames).collect()]
+    assert set(got) == want and len(got) == len(want) and {r[4] for r in got} == {0, 1}
