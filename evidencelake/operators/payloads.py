@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .stamps import Family, parse_stamp
+from .stamps import Family, is_stamp
 
 #: The name of the portable form, its greatest size in bytes, and how a view is named.
 PORTABLE, MOST_BYTES, VIEW = "scqr1", 8192, r"^[a-z][a-z0-9_]{0,31}$"
@@ -56,27 +57,36 @@ def handoff_header(source: Column, revision: Column, digest: Column) -> Column:
 def chunk_fields(chunk: Column) -> Column:
     """struct<fields map<string,string>, text> of a chunk; null where its first line is no JSON object of strings without repeated keys."""
     head = F.substring_index(chunk, "\n", 1)
-    fields = _strings(_object(head))
-    return F.when(chunk.contains("\n") & fields.isNotNull(), F.struct(fields.alias("fields"), F.substr(chunk, F.length(head) + 2).alias("text")))
+    parts = lambda fields: F.struct(fields.alias("fields"), F.substr(chunk, F.length(head) + 2).alias("text"))
+    return _let(_strings(_object(F.when(chunk.contains("\n"), head))), lambda fields: F.when(fields.isNotNull(), parts(fields)))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression of a value that is worked out once, however often the expression names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _object(text: Column) -> Column:
     """The JSON object that a whole text is, as a map of variants; null for anything else, and where a key repeats at any depth.
 
     The reader stops after the first value, so the text is read inside a list and inside an object: what may follow the
-    value in one may not in the other.
+    value in one may not in the other.  Blanks around it are taken off first.
     """
-    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    inside = F.try_parse_json(F.concat(F.lit('{"p":'), text, F.lit("}")))
-    items = F.try_variant_get(listed, "$", "array<variant>")
-    good = (F.size(items) == 1) & inside.isNotNull() & F.schema_of_variant(F.get(items, F.lit(0))).startswith("OBJECT<")
-    return F.when(good, F.try_variant_get(F.get(items, F.lit(0)), "$", "map<string,variant>"))
+    bare = F.trim(text)
+    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), bare, F.lit("]"))), "$", "array<variant>")
+    inside = F.try_parse_json(F.concat(F.lit('{"p":'), bare, F.lit("}")))
+    return _let(listed, lambda items: F.when((F.size(items) == 1) & inside.isNotNull(), _fields(F.get(items, F.lit(0)))))
+
+
+def _fields(value: Column) -> Column:
+    """A variant as a map of its keys; null unless it is an object."""
+    return F.try_variant_get(value, "$", "map<string,variant>")
 
 
 def _strings(values: Column) -> Column:
     """A map of variants as a map of strings; null unless all are strings."""
-    good = F.forall(F.map_values(values), lambda v: F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False)))
-    return F.when(good, F.transform_values(values, lambda _, v: F.try_variant_get(v, "$", "string")))
+    good = lambda found: F.forall(F.map_values(found), lambda v: F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False)))
+    return _let(values, lambda found: F.when(good(found), F.transform_values(found, lambda _, v: F.try_variant_get(v, "$", "string"))))
 
 
 def portable(views: dict[str, Column]) -> Column:
@@ -94,14 +104,18 @@ def parse_portable(text: Column) -> Column:
     none or more than eight views, names that aren't a lower case letter and up to 31 letters, digits or _, and values
     that aren't stamps.  Keys may stand in any order and blanks between them.
     """
-    whole = _object(F.when(F.octet_length(text) <= MOST_BYTES, text))
-    keys = F.array_sort(F.map_keys(whole)) == F.array(F.lit("format"), F.lit("views"))
-    kind = F.try_element_at(whole, F.lit("format"))
-    named = F.try_element_at(whole, F.lit("views"))
-    fine = keys & (F.schema_of_variant(kind) == "STRING") & (F.try_variant_get(kind, "$", "string") == PORTABLE) & F.schema_of_variant(named).startswith("OBJECT<")
-    stamps = _strings(F.when(fine, F.try_variant_get(named, "$", "map<string,variant>")))
-    good = F.size(stamps).between(1, 8) & F.forall(F.map_keys(stamps), lambda n: n.rlike(VIEW)) & F.forall(F.map_values(stamps), lambda s: parse_stamp(s).isNotNull())
-    return F.when(good, stamps)
+    names = F.array(F.lit("format"), F.lit("views"))
+    kind, named = (lambda whole, n=n: F.try_element_at(whole, F.lit(n)) for n in ("format", "views"))
+
+    def views(whole: Column) -> Column:
+        said = (F.schema_of_variant(kind(whole)) == "STRING") & (F.try_variant_get(kind(whole), "$", "string") == PORTABLE)
+        return F.when((F.array_sort(F.map_keys(whole)) == names) & said, _fields(named(whole)))
+
+    def checked(stamps: Column) -> Column:
+        good = F.size(stamps).between(1, 8) & F.forall(F.map_keys(stamps), lambda n: n.rlike(VIEW)) & F.forall(F.map_values(stamps), is_stamp)
+        return F.when(good, stamps)
+
+    return _let(_strings(_let(_object(F.when(F.octet_length(text) <= MOST_BYTES, text)), views)), checked)
 
 
 def canonical(stamps: Column) -> Column:

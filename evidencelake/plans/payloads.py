@@ -24,7 +24,8 @@ def q82_portable_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     stamp = lambda family, text: F.concat(F.lit("cs1:"), F.sha2(F.lit(family), 256), F.lit(":64:"), F.substring(F.sha2(text, 256), 1, 16))
     stamped = rows.select("doc_id", stamp("meaning", F.col("text")).alias("a"), stamp("origin", F.col("source")).alias("b"))
-    whole = P.portable({"origin": F.col("b"), "meaning": F.col("a")})
+    stamped = stamped.withColumn("whole", P.portable({"origin": F.col("b"), "meaning": F.col("a")}))
+    whole = F.col("whole")
     said = lambda *parts: F.concat(*[F.col(p) if p in ("a", "b") else F.lit(p) for p in parts])
     forms = {
         "canonical": whole,
@@ -34,8 +35,7 @@ def q82_portable_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
         "other format": said('{"format":"scqr2","views":{"meaning":"', "a", '"}}'),
         "more behind": F.concat(whole, F.lit(" {}")),
         "no stamp": P.portable({"meaning": F.substring("a", 1, 80)}),
-        "8192 bytes": F.rpad(whole, 8192, " "),
-        "8193 bytes": F.rpad(whole, 8193, " "),
+        **{f"{n} bytes": F.concat(whole, F.repeat(F.lit(" "), n - F.length(whole))) for n in (8192, 8193)},
     }
     given = F.explode(F.array(*[F.struct(F.lit(n).alias("form"), c.alias("payload")) for n, c in forms.items()]))
     read = stamped.select("doc_id", given.alias("g")).select("doc_id", "g.form", P.parse_portable(F.col("g.payload")).alias("views"))

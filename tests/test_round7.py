@@ -3,9 +3,10 @@ import math
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from evidencelake import plans
-from evidencelake.operators import evaluation
+from evidencelake.operators import evaluation, payloads
 
 
 def same_as_sql(spark, folder, name):
@@ -71,3 +72,24 @@ def test_restoration_gain_of_required_facts(spark):
                 want.add((c, omitted, s, before, after, after - before))
     got = [tuple(r) for r in evaluation.restoration_gain(*frames).collect()]
     assert set(got) == want and len(got) == len(want) and {r[4] for r in got} == {0, 1}
+
+
+def test_portable_payloads_are_parsed_once_a_way(spark, tmp_path):
+    rows = [(i, t, s) for i, (t, s) in enumerate([("a", "src0"), ("", "src1"), (None, "src2"), ("é\n\"x\"", None), ("b" * 9000, "")])]
+    pq.write_table(pa.table(dict(zip(("doc_id", "text", "source"), map(list, zip(*rows))))), tmp_path / "documents.parquet")
+    frame = plans.QUERIES["q82_portable_payload"](spark, str(tmp_path))
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 2
+    got, want = same_as_sql(spark, tmp_path, "q82_portable_payload")
+    whole = {r[0] for r in rows if None not in r}
+    assert [r for r in got if r[0] in whole] == [r for r in want if r[0] in whole] and len(got) == len(want)
+
+
+def test_portable_payload_with_blanks_around(spark):
+    stamp = "cs1:" + "a" * 64 + ":64:" + "0" * 16
+    plain = f'{{"format":"scqr1","views":{{"v":"{stamp}"}}}}'
+    good = [plain, f"  {plain} ", f"\t\n {plain}\r\n  ", plain + " " * (8192 - len(plain))]
+    bad = [plain + " " * (8193 - len(plain)), plain + "\u00a0", plain + " ]", f"{plain}}}", f"{plain},", f"{plain} {plain}", f"[{plain}]", "", "  ", None, "null", '"x"', plain.replace(":64:", ":60:"), plain.replace('"v"', '"V"')]
+    bad += ['{"format":"scqr1","views":[]}', '{"format":"scqr1","views":{}}', '{"format":"scqr1","views":null}', '{"format":1,"views":{"v":"x"}}', f'{{"format":"scqr1","views":{{"v":"{stamp}","w":7}}}}']
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(good + bad)], "i long, t string")
+    told = {r["i"]: r["p"] for r in rows.select("i", payloads.parse_portable(F.col("t")).alias("p")).collect()}
+    assert [told[i] for i in range(len(good))] == [{"v": stamp}] * len(good) and not any(told[i] for i in range(len(good), len(told)))
