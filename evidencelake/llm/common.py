@@ -42,14 +42,17 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
-def stage(frame: DataFrame, compression: str = "snappy") -> DataFrame:
-    """Like cut(), as a compressed Parquet table in the shared folder.  Shuffle files of its making are gone by then."""
+def stage(frame: DataFrame, compression: str = "snappy", per_file: int = 0) -> DataFrame:
+    """Like cut(), as a compressed Parquet table in the shared folder, of so many rows a file at most if that is given.
+
+    Shuffle files of its making are gone by then.
+    """
     spark = frame.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        frame.write.option("compression", compression).parquet(path)
+        frame.write.options(compression=compression, maxRecordsPerFile=per_file).parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(frame.schema).parquet(path)
