@@ -31,7 +31,7 @@ from .common import components, cut, discard, stage
 from .vectors import class_key, finite
 
 COSINE, BLOCKS, SEED = 0.9, 4, 5
-CHUNK, TILE = 2048, 512
+CHUNK, TILE = 2048, 128
 #: Bytes of vectors, at most, in a chunk and in a group, and bytes that a round may send however small the table is.
 GROUP, ROUND = 4 << 20, 256 << 20
 #: Groups to aim at, so that there are tasks enough on few vectors, and rows of links a vector beyond which they are reduced.
@@ -103,15 +103,22 @@ def compare(a: np.ndarray, b: np.ndarray, same: bool, cosine: float, blocks: int
     turn, edges, budget = rotation(dim), block_edges(dim, blocks), max(0.0, 2 - 2 * cosine)
     ua, ub = unit(a), unit(b)
     ra, rb = (ua @ turn).astype(np.float32), (ub @ turn).astype(np.float32)
+    # half of what a block's budget has over a pair's square distance, as one product
+    sides = []
+    for lo, hi in edges:
+        x, y = ra[:, lo:hi], rb[:, lo:hi]
+        most = np.float32(budget * (hi - lo) / dim + 1e-4)  # far above float32's error
+        halves = [(z * z).sum(axis=1, keepdims=True) / 2 for z in (x, y)]
+        sides.append((np.hstack([x, -halves[0], np.ones_like(halves[0])]), np.hstack([y, np.ones_like(halves[1]), most / 2 - halves[1]]).T.copy()))
     out_i, out_j = [], []
+    room, hit = np.empty((TILE, len(b)), np.float32), np.empty((TILE, len(b)), bool)
     for top in range(0, len(a), TILE):
-        near = None
-        for lo, hi in edges:
-            x, y = ra[top : top + TILE, lo:hi], rb[:, lo:hi]
-            square = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * (x @ y.T)
-            hit = square <= budget * (hi - lo) / dim + 1e-4  # far above float32's error
-            near = hit if near is None else near | hit
-        i, j = np.nonzero(near)
+        n = min(TILE, len(a) - top)
+        near = np.zeros((n, len(b)), bool)
+        for x, y in sides:
+            np.matmul(x[top : top + n], y, out=room[:n])
+            near |= np.greater_equal(room[:n], 0, out=hit[:n])
+        i, j = np.divmod(np.flatnonzero(near), len(b))
         i += top
         if same:
             i, j = i[i < j], j[i < j]

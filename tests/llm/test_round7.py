@@ -25,3 +25,14 @@ def test_embedding_rounds_send_what_the_table_holds(spark, monkeypatch):
     assert sorted(zip(got.vec_id, got.n_links)) == sorted([*zip(ids, near.sum(1) - 1), ("x", 1), ("y", 1), ("z", 0)])
     least = {r.vec_id: r.component_id for r in got.itertuples()}
     assert {least[f"v{i:03}"] for i in range(100, 220)} == {"v000"} and (least["w"], least["y"], least["z"]) == ("v007", "x", "z")
+
+
+def test_pairs_of_chunks_equal_brute_force():
+    rng = np.random.default_rng(6)
+    for dim, rows in ((64, 300), (5, 200), (1, 9), (16, 1)):
+        a = rng.normal(size=(rows, dim)) * rng.choice([1e-150, 1.0, 1e150], size=(rows, 1))
+        b = np.vstack([a[: rows // 2] * 3 + 0.3 * np.abs(a[: rows // 2]) * rng.normal(size=(rows // 2, dim)), rng.normal(size=(77, dim))])
+        for x, y, same in ((a, b, False), (a, a, True)):
+            cosine = embeddings.unit(x) @ embeddings.unit(y).T
+            want = np.argwhere((cosine >= 0.9) & ((not same) | (np.arange(len(x))[:, None] < np.arange(len(y)))))
+            assert np.array_equal(np.array(embeddings.compare(x, y, same, 0.9)).T, want)
